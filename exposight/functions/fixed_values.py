@@ -109,7 +109,7 @@ EMAIL_PATTERN = r"(?U)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 PHONE_PATTERN = r"(?U)(?:\+44\s?|\(?0\d{2,4}\)?[\s.-]?)\d{3,4}[\s.-]?\d{3,4}"
 ANGLE_ADDRESS_PATTERN = r"(?U)<([\w.-]+@[\w.-]+\.\w+)>"
 WORD_PATTERN = r"[\p{L}\p{N}_]{2,}"
-ZERO_WIDTH_CHARS = "​‌‍‎‏﻿"
+ZERO_WIDTH_CHARS = "".join(map(chr, [0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0xFEFF]))
 
 # --- Fixed values: elements whose content is not page text ----------------------
 NON_TEXT_TAGS = ["script", "style", "noscript", "svg", "iframe"]

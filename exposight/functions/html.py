@@ -49,7 +49,7 @@ def _character(code: Column) -> Column:
     """Character of a code point; U+FFFD where there is none."""
     valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
     utf32 = F.unhex(F.lpad(F.hex(code), 8, "0"))
-    plain = F.when(valid, F.decode(utf32, "UTF-32")).otherwise(F.lit("�"))
+    plain = F.when(valid, F.decode(utf32, "UTF-32")).otherwise(F.lit(chr(0xFFFD)))
     return F.coalesce(_lookup(_windows_characters(), code.cast("string")), plain)
 
 

@@ -31,7 +31,7 @@ def _plain_name(first: Column, last: Column) -> Column:
 
 def search_names(first: Column, middles: Column, last: Column) -> Column:
     """First and last name around every ordered subset of the middle names, sorted."""
-    n_subsets = F.shiftleft(F.lit(1).cast("bigint"), F.size(middles))
+    n_subsets = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.size(middles))
     masks = F.sequence(F.lit(1).cast("bigint"), n_subsets - 1)
 
     def named(mask: Column) -> Column:

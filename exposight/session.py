@@ -22,6 +22,7 @@ def local_session(cores: str = "8", app: str = "exposight", shuffle_partitions:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.extraJavaOptions", "-Xss16m")
         .getOrCreate()
@@ -50,6 +51,16 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a plain scan at least one partition per core.
+
+    Scans of real size have far more partitions than cores and come back unchanged;
+    a small file with one row group would otherwise keep a single core busy.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def small_enough(df: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES, row_overhead: int = 64) -> bool:
     """Measure ``df`` (one aggregate row comes back) and compare it with the limit."""
     widths = [
