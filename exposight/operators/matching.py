@@ -26,13 +26,14 @@ from pyspark.sql import functions as F
 from exposight.functions import fixed_values as fv
 from exposight.functions import people
 from exposight.functions.text import digits_only, phone_token_digits
-from exposight.session import BROADCAST_LIMIT_BYTES
+from exposight.session import BROADCAST_LIMIT_BYTES, materialise
 
 # (shortest term, stride, key length): long terms allow wide strides and long, rare keys.
 TIERS = [(15, 8, 8), (9, 4, 6), (6, 2, 5), (5, 1, 5), (4, 1, 4), (3, 1, 3), (2, 1, 2), (1, 1, 1)]
 
-# Longer texts are cut into overlapping pieces, so one huge page is not one huge array.
-PIECE_CHARS = 1 << 16
+# Texts are read in overlapping pieces of this many characters. Short pieces keep
+# reaching into a piece cheap and bound what one huge page puts into one row.
+PIECE_CHARS = 64
 
 # Rough size of one broadcast row beside its strings.
 _KEY_ROW_BYTES = 96
@@ -63,7 +64,7 @@ def _tier_of(length: Column) -> Column:
 
 
 def _places(needles: DataFrame) -> DataFrame:
-    """Per key, the distinct places of a term around it: where it starts in the window, its length."""
+    """Per key, the distinct places of a term around it: how far before the key it starts, its length."""
     stride = F.element_at(F.array(*[F.lit(t[1]) for t in TIERS]), F.col("tier") + 1)
     length = F.element_at(F.array(*[F.lit(t[2]) for t in TIERS]), F.col("tier") + 1)
     shifted = needles.withColumns({"stride": stride, "key_length": length}).withColumn(
@@ -72,42 +73,36 @@ def _places(needles: DataFrame) -> DataFrame:
     return shifted.select(
         "tier",
         F.substring("needle", F.col("shift") + 1, F.col("key_length")).alias("key"),
-        (F.col("stride") - F.col("shift")).alias("place_at"),
+        "shift",
         F.length("needle").alias("place_length"),
     ).distinct()
 
 
-def _windows(text: Column, tier: int, longest: int) -> Column:
-    """One window per ``stride`` characters; the key stands ``stride - 1`` characters in."""
-    _, stride, _ = TIERS[tier]
-    padded = F.concat(F.lit(" " * (stride - 1)), text)
-    width = stride - 1 + longest
-    return F.regexp_extract_all(padded, F.lit(rf"(?s)(?=(.{{1,{width}}})).{{1,{stride}}}"), F.lit(1))
-
-
-def _keyed_windows(text: Column, tier: int, longest: int) -> Column:
-    _, stride, length = TIERS[tier]
-
-    def keyed(window: Column) -> Column:
-        key = F.substring(window, stride, length)
-        return F.struct(F.lit(tier).alias("tier"), key.alias("key"), window.alias("window"))
-
-    return F.transform(_windows(text, tier, longest), keyed)
-
-
-def _pieces(text: Column, longest: int) -> Column:
-    pattern = rf"(?s)(?=(.{{1,{PIECE_CHARS + longest}}})).{{1,{PIECE_CHARS}}}"
-    cut = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    return F.explode(F.when(F.length(text) <= PIECE_CHARS, F.array(text)).otherwise(cut))
-
-
 def _text_keys(pages: DataFrame, page_id: str, text: Column, groups: dict[int, int]) -> DataFrame:
-    """Keyed windows of all texts for the term lengths in use (``groups``: tier -> longest)."""
-    longest = max(groups.values())
-    pieces = pages.select(F.col(page_id).alias("page_id"), _pieces(text, longest).alias("piece"))
-    arrays = [_keyed_windows(F.col("piece"), tier, most) for tier, most in sorted(groups.items())]
-    windows = arrays[0] if len(arrays) == 1 else F.concat(*arrays)
-    return pieces.select("page_id", F.explode(windows).alias("w")).select("page_id", "w.*")
+    """Keys of all texts for the term lengths in use (``groups``: tier -> longest term).
+
+    A piece owns the terms starting in its first ``PIECE_CHARS`` characters and
+    reaches far enough beyond them to hold the longest one whole.
+    """
+    reach = PIECE_CHARS + max(groups.values())
+    pattern = rf"(?s)(?=(.{{1,{reach}}})).{{1,{PIECE_CHARS}}}"
+    pieces = pages.select(
+        F.col(page_id).alias("page_id"),
+        F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).alias("piece"),
+    )
+    spots = [
+        F.struct(F.lit(tier).alias("tier"), F.lit(at).alias("at"), F.lit(TIERS[tier][2]).alias("key_length"))
+        for tier in sorted(groups)
+        for at in range(1, PIECE_CHARS + TIERS[tier][1] + 1, TIERS[tier][1])
+    ]
+    spotted = pieces.select("page_id", "piece", F.explode(F.array(*spots)).alias("spot"))
+    return spotted.select(
+        "page_id",
+        "piece",
+        F.col("spot.tier").alias("tier"),
+        F.col("spot.at").alias("at"),
+        F.substring("piece", F.col("spot.at"), F.col("spot.key_length")).alias("key"),
+    )
 
 
 def needle_hits(
@@ -143,16 +138,18 @@ def needle_hits(
         groups = {r["tier"]: r["longest"] for r in sizes if r["in_digits"] == in_digits}
         if not groups:
             continue
-        windows = _text_keys(pages, page_id, haystack[in_digits], groups)
+        text_keys = _text_keys(pages, page_id, haystack[in_digits], groups)
         for number in range(n_slices):
             part = tiered.where(F.col("in_digits") == in_digits).select("needle", "tier")
             if n_slices > 1:
                 # More terms than may be broadcast: another pass over the texts per slice,
-                # which moves less than shuffling every window of every text.
+                # which moves less than shuffling every key of every text.
                 part = part.where(F.pmod(F.xxhash64("needle"), F.lit(n_slices)) == number)
-            at_place = F.substring("window", F.col("place_at"), F.col("place_length"))
-            candidates = windows.join(F.broadcast(_places(part)), ["tier", "key"]).select(
-                "page_id", at_place.alias("needle")
+            starts_at = F.col("at") - F.col("shift")
+            candidates = (
+                text_keys.join(F.broadcast(_places(part)), ["tier", "key"])
+                .where(starts_at >= 1)
+                .select("page_id", F.substring("piece", starts_at, F.col("place_length")).alias("needle"))
             )
             hits = candidates.join(F.broadcast(part.select("needle")), "needle").select(
                 "page_id", F.lit(in_digits).alias("in_digits"), "needle"
@@ -178,11 +175,11 @@ def findings(
     Null text has no findings. A term shared by many subjects is searched once
     and spread to its subjects only after its hits are distinct.
     """
-    terms = _with_needles(terms.select("subject_id", "entity_type", "entity_value", "confidence").distinct())
+    columns = ["subject_id", "entity_type", "entity_value", "confidence"]
+    # Written once: the terms are measured, sliced and joined several times below.
+    terms = materialise(_with_needles(terms.select(columns).distinct()), "identity-terms")
     hits = needle_hits(pages, terms, page_id, text, phone_mode, limit_bytes)
-    return hits.join(terms, ["in_digits", "needle"]).select(
-        "subject_id", "page_id", "entity_type", "entity_value", "confidence"
-    )
+    return hits.join(terms, ["in_digits", "needle"]).select("page_id", *columns)
 
 
 def risk_points(entity_type: Column, points: dict[str, int] = fv.RISK_POINTS) -> Column:
