@@ -132,4 +132,5 @@ SPLIT_SEED = 42
 SEQUENCE_LENGTH = 256
 HITS_PER_QUERY = 10
 INBOX_SIZE = 500
+SEARCH_ENGINE = "duckduckgo"
 PREVIEW_CHARS = 1000

@@ -50,7 +50,7 @@ def ingest(hits: DataFrame, subjects: DataFrame, stored: DataFrame, k: int = fv.
     return rated.select(
         candidate_id(F.col("subject_id"), F.col("url")).alias("id"),
         "subject_id",
-        F.lit("duckduckgo").alias("search_engine"),
+        F.lit(fv.SEARCH_ENGINE).alias("search_engine"),
         "search_query",
         "query_confidence",
         "url",
