@@ -72,7 +72,7 @@ def vector_entries(df: DataFrame, key: str, vector: str = "features") -> DataFra
     plain = F.from_json(F.to_json(F.struct(F.col(vector).alias("v"))), shape)["v"]
     pairs = F.arrays_zip(plain["indices"].alias("position"), plain["values"].alias("weight"))
     return df.select(key, F.explode(pairs).alias("e")).select(
-        key, F.col("e.indices").alias("position"), F.col("e.values").alias("weight")
+        key, "e.position", "e.weight"
     )
 
 

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from exposight.functions import urls
 from exposight.operators import matching
 from exposight.plans import crawl
+from exposight.session import materialise
 from exposight.sources.sinks import append_new
 
 
@@ -33,6 +34,7 @@ def analyse_stream(
 
     def handle(batch: DataFrame, _: int) -> None:
         parsed = crawl.parse_pages(batch).select("page_id", "url", "page_title", "extracted_text")
+        parsed = materialise(parsed, "parsed-batch")
         append_new(parsed, f"{out_folder}/pages", ["page_id"])
         found = matching.findings(parsed, terms)
         append_new(found, f"{out_folder}/findings", ["subject_id", "page_id", "entity_type", "entity_value"])

@@ -39,6 +39,7 @@ FROM {customer}
     # Page text: every document, with terms of one subject planted in most of them.
     "page_texts": """
 SELECT d.doc_id AS page_id,
+       CASE d.doc_id % 9 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'Page ' || CAST(d.doc_id AS VARCHAR(20)) END AS page_title,
        CASE WHEN d.doc_id % 97 = 0 THEN NULL ELSE d.text ||
          CASE d.doc_id % 8
            WHEN 0 THEN ' Name: ' || upper(s.first_name) || ' ' || upper(s.last_name) || ' Email: ' || coalesce(lower(s.email), 'none')
@@ -110,7 +111,18 @@ SELECT page_id AS id, page_id AS search_result_id,
        CASE page_id % 7 WHEN 1 THEN 'verified' WHEN 2 THEN 'false_positive' WHEN 3 THEN 'ignored' ELSE 'pending' END AS verification_status
 FROM {pages}
 """,
-    "candidates": "SELECT page_id AS id, url FROM {pages}",
+    "candidates": """
+SELECT p.page_id AS id, p.url, CASE WHEN l.doc_id IS NULL THEN 'pending' ELSE 'success' END AS crawl_status
+FROM {pages} p LEFT JOIN {labels} l ON l.doc_id = p.page_id
+""",
+    # A mail table and newer rows for part of its ids and for unknown ones.
+    "stored_emails": """
+SELECT 'u' || CAST(c_custkey AS VARCHAR(20)) AS gmail_id, c_name AS subject, c_mktsegment AS body, 0 AS is_read FROM {customer}
+""",
+    "incoming_emails": """
+SELECT 'u' || CAST(user_id * 12 AS VARCHAR(20)) AS gmail_id, event_type AS subject,
+       CASE WHEN event_id % 3 = 0 THEN NULL ELSE props END AS body, event_id FROM {events}
+""",
     "decisions": """
 SELECT event_id, user_id AS page_id, CAST(ts AS VARCHAR(40)) AS ts,
        CASE event_type WHEN 'view' THEN 'v' WHEN 'click' THEN 'f' WHEN 'signup' THEN 'i' WHEN 'purchase' THEN 'r' ELSE 's' END AS choice
