@@ -219,7 +219,7 @@ def render(text: str, table_ref, first_index: int) -> str:
             return table_ref(name)
         raise KeyError(name)
 
-    return re.sub(r"\{([A-Za-z_]+)\}", fill, text)
+    return re.sub(r"\{([a-z_]+|ZWSP|NBSP)\}", fill, text)
 
 
 def duckdb_sql(text: str) -> str:
