@@ -18,7 +18,9 @@ from exposight.functions import text as tx
 from exposight.functions import urls
 
 _CUT = "\u0001"
-_TAG = r"(?s)<!--.*?-->|<[/!A-Za-z][^>]*>"
+# Possessive runs of "anything but <" keep every pattern linear and free of deep recursion.
+_COMMENT = r"<!--[^-]*+(?:-(?!->)[^-]*+)*+-->"
+_TAG = rf"{_COMMENT}|<[/!A-Za-z][^>]*+>"
 _VALUE = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
 
@@ -55,20 +57,32 @@ def _character(code: Column) -> Column:
 
 def _decode_reference(piece: Column) -> Column:
     """``piece`` follows an ampersand; replace the reference at its start."""
-    name = F.regexp_extract(piece, r"^([A-Za-z][A-Za-z0-9]*)", 1)
-    decimal = F.regexp_extract(piece, r"^#([0-9]+)", 1)
-    hexadecimal = F.regexp_extract(piece, r"^#[xX]([0-9A-Fa-f]+)", 1)
-    rest = F.regexp_replace(piece, r"^(?:#[xX][0-9A-Fa-f]+|#[0-9]+|[A-Za-z][A-Za-z0-9]*);?", "")
-    code = F.coalesce(
-        decimal.try_cast("bigint"),
-        F.conv(F.when(F.length(hexadecimal) <= 8, hexadecimal), 16, 10).try_cast("bigint"),
-        F.lit(-1).cast("bigint"),
-    )
-    known = F.coalesce(_lookup(_named_characters(), name), F.concat(F.lit("&"), name))
+
+    def rest(length: Column) -> Column:
+        left = F.substring(piece, length + 1, F.length(piece))
+        return F.regexp_replace(left, "^;", "")
+
+    def numeric(reference: Column) -> Column:
+        hexadecimal = F.substring(reference, F.lit(3), F.length(reference))
+        code = F.coalesce(
+            F.substring(reference, F.lit(2), F.length(reference)).try_cast("bigint"),
+            F.conv(F.when(F.length(hexadecimal) <= 8, hexadecimal), 16, 10).try_cast("bigint"),
+            F.lit(-1).cast("bigint"),
+        )
+        return F.when(reference == "", F.concat(F.lit("&"), piece)).otherwise(
+            F.concat(_character(code), rest(F.length(reference)))
+        )
+
+    def named(name: Column) -> Column:
+        known = F.coalesce(_lookup(_named_characters(), name), F.concat(F.lit("&"), name))
+        return F.when(name == "", F.concat(F.lit("&"), piece)).otherwise(F.concat(known, rest(F.length(name))))
+
+    number = F.regexp_extract(piece, r"^#(?:[0-9]+|[xX][0-9A-Fa-f]+)", 0)
+    word = F.regexp_extract(piece, r"^[A-Za-z][A-Za-z0-9]*", 0)
     return (
-        F.when(name != "", F.concat(known, rest))
-        .when((decimal != "") | (hexadecimal != ""), F.concat(_character(code), rest))
-        .otherwise(F.concat(F.lit("&"), piece))
+        F.when(piece.startswith("amp;"), F.concat(F.lit("&"), F.substring(piece, F.lit(5), F.length(piece))))
+        .when(piece.startswith("#"), tx.bind(number, numeric))
+        .otherwise(tx.bind(word, named))
     )
 
 
@@ -81,7 +95,8 @@ def decode_entities(text: Column) -> Column:
 
 
 def drop_elements(html: Column, tags: list[str] = fv.NON_TEXT_TAGS) -> Column:
-    pattern = rf"(?is)<({'|'.join(tags)})\b.*?</\1\s*>"
+    """Html without comments and without the given elements and their content."""
+    pattern = rf"(?i){_COMMENT}|<({'|'.join(tags)})\b[^<]*+(?:<(?!/\1\s*>)[^<]*+)*+</\1\s*>"
     return F.regexp_replace(html, pattern, _CUT)
 
 
@@ -90,9 +105,12 @@ def text_nodes(html: Column) -> Column:
     return F.split(F.regexp_replace(html, _TAG, _CUT), _CUT)
 
 
-def visible_text(html: Column) -> Column:
-    """Every text node stripped, empty ones left out, joined by one space."""
-    return _joined_nodes(drop_elements(html), " ")
+def visible_text(markup: Column) -> Column:
+    """Every text node stripped, empty ones left out, joined by one space.
+
+    ``markup`` is html after ``drop_elements``, as for all functions below.
+    """
+    return _joined_nodes(markup, " ")
 
 
 def _joined_nodes(html: Column, separator: str) -> Column:
@@ -110,61 +128,53 @@ def strip_mail_markup(text: Column) -> Column:
     return F.when(has_markup, F.array_join(kept, " ")).otherwise(text)
 
 
-def _unquote(value: Column) -> Column:
-    quoted = value.startswith('"') | value.startswith("'")
-    return F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+def _value_text(raw: Column) -> Column:
+    """Attribute value as written to its text: quotes off, references decoded."""
+
+    def unquoted(value: Column) -> Column:
+        quoted = value.startswith('"') | value.startswith("'")
+        return F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+
+    return tx.bind(tx.bind(raw, unquoted), decode_entities)
 
 
 def _attribute(tag: Column, name: str) -> Column:
-    raw = F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*{_VALUE}", 1)
-    return decode_entities(_unquote(raw))
+    return _value_text(F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*{_VALUE}", 1))
 
 
-def title(html: Column) -> Column:
-    inner = F.regexp_extract(drop_elements(html), r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)
-    return _joined_nodes(inner, "")
+def title(markup: Column) -> Column:
+    return _joined_nodes(F.regexp_extract(markup, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1), "")
 
 
-def meta_content(html: Column, name: str) -> Column:
+def meta_content(markup: Column, name: str) -> Column:
     """``content`` of the first ``<meta name=...>``, ``""`` when there is none."""
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0))
+    tags = F.regexp_extract_all(markup, F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0))
     named = F.filter(tags, lambda t: _attribute(t, "name") == name)
     return F.coalesce(_attribute(F.get(named, F.lit(0)), "content"), F.lit(""))
 
 
-def _markup(html: Column) -> Column:
-    """Html as the link and image patterns should see it: no dropped elements or comments."""
-    return F.regexp_replace(drop_elements(html), r"(?s)<!--.*?-->", _CUT)
-
-
-def image_sources(html: Column) -> Column:
+def image_sources(markup: Column) -> Column:
     pattern = rf"(?is)<img\b[^>]*?\ssrc\s*=\s*{_VALUE}"
-    raw = F.regexp_extract_all(_markup(html), F.lit(pattern), F.lit(1))
-    return F.transform(raw, lambda v: decode_entities(_unquote(v)))
+    raw = F.regexp_extract_all(markup, F.lit(pattern), F.lit(1))
+    return F.transform(raw, _value_text)
 
 
-_ANCHOR = (
-    rf"(?is)<a\s(?:[^>]*?\s)?href\s*=\s*{_VALUE}[^>]*>"
-    r"(.*?)(?=</a\s*>|<a\s|\z)"
-)
+# An opening tag with what follows up to the next opening or closing one.
+_ANCHOR = r"(?i)<a\s[^>]*+>[^<]*+(?:<(?!/?a[\s>])[^<]*+)*+"
+_HREF = rf"(?is)^<a\s(?:[^>]*?\s)?href\s*=\s*{_VALUE}"
 
 
-def anchors(html: Column) -> Column:
+def anchors(markup: Column) -> Column:
     """``array<struct<href,label>>``; the label is stripped and lower-cased."""
-
-    def pairs(markup: Column) -> Column:
-        hrefs = F.regexp_extract_all(markup, F.lit(_ANCHOR), F.lit(1))
-        inner = F.regexp_extract_all(markup, F.lit(_ANCHOR), F.lit(2))
-        return F.zip_with(
-            hrefs,
-            inner,
-            lambda h, t: F.struct(
-                decode_entities(_unquote(h)).alias("href"),
-                F.lower(_joined_nodes(t, "")).alias("label"),
-            ),
-        )
-
-    return tx.bind(_markup(html), pairs)
+    found = F.regexp_extract_all(markup, F.lit(_ANCHOR), F.lit(0))
+    with_href = F.filter(found, lambda a: a.rlike(_HREF))
+    return F.transform(
+        with_href,
+        lambda a: F.struct(
+            _value_text(F.regexp_extract(a, _HREF, 1)).alias("href"),
+            F.lower(_joined_nodes(a, "")).alias("label"),
+        ),
+    )
 
 
 def _is_social(url: Column, domains: list[str], mode: str) -> Column:
@@ -182,14 +192,15 @@ def _is_social(url: Column, domains: list[str], mode: str) -> Column:
 
 
 def classified_links(
-    html: Column,
-    base_url: Column,
+    markup: Column,
+    base: Column,
     social_domains: list[str] = fv.SOCIAL_LINK_DOMAINS,
     social_mode: str = "substring",
 ) -> Column:
     """One struct per anchor: resolved ``url`` and the classes it falls into.
 
-    A ``mailto:`` link is an e-mail and nothing else; any other link may be a
+    ``base`` holds the parts of the page's address (``urls.base_parts``). A
+    ``mailto:`` link is an e-mail and nothing else; any other link may be a
     contact, privacy and social link at once.
     """
 
@@ -204,6 +215,6 @@ def classified_links(
                 (~mail & _is_social(url, social_domains, social_mode)).alias("is_social"),
             )
 
-        return tx.bind(urls.resolve(base_url, a["href"]), flags)
+        return tx.bind(urls.resolve_from(base, a["href"]), flags)
 
-    return F.transform(anchors(html), classify)
+    return F.transform(anchors(markup), classify)

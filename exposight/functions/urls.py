@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from exposight.functions.text import bind
+
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*):"
 _AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)"
 _BEFORE_PATH = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?"
@@ -32,7 +34,8 @@ def canonical(url: Column) -> Column:
 def _drop_empty_tail(url: Column) -> Column:
     """``p?`` and ``p#`` carry an empty query or fragment, which is not kept."""
     no_query = F.regexp_replace(url, r"^([^?#]*)\?(?=#|$)", "$1")
-    return F.regexp_replace(no_query, r"^([^#]*)#$", "$1")
+    trimmed = F.regexp_replace(no_query, r"^([^#]*)#$", "$1")
+    return F.when(url.endswith("#") | F.contains(url, F.lit("?")), trimmed).otherwise(url)
 
 
 def _fold_dots(path: Column, relative: Column) -> Column:
@@ -54,33 +57,46 @@ def _fold_dots(path: Column, relative: Column) -> Column:
     return F.when(has_dots, joined).otherwise(path)
 
 
+def base_parts(base: Column) -> Column:
+    """The parts of a page's address that its links are resolved against, worked out once."""
+    path = _path(base)
+    return F.struct(
+        base.alias("whole"),
+        _scheme(base).alias("scheme"),
+        F.concat(_scheme(base), F.lit("://"), domain(base)).alias("origin"),
+        path.alias("path"),
+        F.regexp_replace(path, r"[^/]*$", "").alias("folder"),
+        F.regexp_extract(base, r"^[^?#]*(\?[^#]+)?", 1).alias("query"),
+    )
+
+
 def resolve(base: Column, href: Column) -> Column:
     """Absolute form of ``href`` as found on the page ``base``."""
-    ref = F.regexp_replace(href, r"^[\x00-\x20]+|[\t\r\n]", "")
-    base_scheme, base_path = _scheme(base), _path(base)
-    origin = F.concat(base_scheme, F.lit("://"), domain(base))
-    base_query = F.regexp_extract(base, r"^[^?#]*(\?[^#]+)?", 1)
-    ref_path = F.regexp_extract(ref, r"^([^?#]*)", 1)
-    tail = F.substring(ref, F.length(ref_path) + 1, F.length(ref))
-    absolute = ref_path.startswith("/")
-    merged = F.when(absolute, ref_path).otherwise(
-        F.concat(F.regexp_replace(base_path, r"[^/]*$", ""), ref_path)
-    )
-    folded = _fold_dots(merged, ~absolute)
-    rooted = F.when(folded.startswith("/"), folded).otherwise(F.concat(F.lit("/"), folded))
-    has_scheme = ref.rlike(_SCHEME)
-    has_authority = ref.rlike(_AUTHORITY)
-    same_scheme_authority = has_authority & (_scheme(ref) == base_scheme)
-    after_scheme = F.regexp_replace(ref, _SCHEME, "")
-    return (
-        F.when(ref == "", base)
-        .when(
-            same_scheme_authority,
-            _drop_empty_tail(F.concat(base_scheme, F.lit(":"), after_scheme)),
+    return bind(base_parts(base), lambda parts: resolve_from(parts, href))
+
+
+def resolve_from(base: Column, href: Column) -> Column:
+    def resolved(ref: Column) -> Column:
+        ref_path = F.regexp_extract(ref, r"^([^?#]*)", 1)
+        tail = F.substring(ref, F.length(ref_path) + 1, F.length(ref))
+        absolute = ref.startswith("/")
+        merged = F.when(absolute, ref_path).otherwise(F.concat(base["folder"], ref_path))
+        folded = _fold_dots(merged, ~absolute)
+        rooted = F.when(folded.startswith("/"), folded).otherwise(F.concat(F.lit("/"), folded))
+        same_scheme = (_scheme(ref) == base["scheme"]) & ref.rlike(_AUTHORITY)
+        after_scheme = F.regexp_replace(ref, _SCHEME, "")
+        return (
+            F.when(ref == "", base["whole"])
+            .when(ref.startswith("//"), _drop_empty_tail(F.concat(base["scheme"], F.lit(":"), ref)))
+            .when(ref.startswith("?"), _drop_empty_tail(F.concat(base["origin"], base["path"], ref)))
+            .when(ref.startswith("#"), _drop_empty_tail(F.concat(base["origin"], base["path"], base["query"], ref)))
+            .when(
+                ~absolute & ref.rlike(_SCHEME),
+                F.when(
+                    same_scheme, _drop_empty_tail(F.concat(base["scheme"], F.lit(":"), after_scheme))
+                ).otherwise(href),
+            )
+            .otherwise(_drop_empty_tail(F.concat(base["origin"], rooted, tail)))
         )
-        .when(has_scheme, href)
-        .when(ref.startswith("//"), _drop_empty_tail(F.concat(base_scheme, F.lit(":"), ref)))
-        .when(ref.startswith("?"), _drop_empty_tail(F.concat(origin, base_path, ref)))
-        .when(ref.startswith("#"), _drop_empty_tail(F.concat(origin, base_path, base_query, ref)))
-        .otherwise(_drop_empty_tail(F.concat(origin, rooted, tail)))
-    )
+
+    return bind(F.regexp_replace(href, r"^[\x00-\x20]+|[\t\r\n]", ""), resolved)

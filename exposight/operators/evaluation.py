@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """``label, n, weight`` with weight ``rows / (classes * rows of the class)``."""
     counts = df.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))
-    totals = counts.agg(F.sum("n").alias("rows"), F.count("*").alias("classes"))
-    rated = counts.select("label", "n", *[_single(totals, c).alias("_" + c) for c in ("rows", "classes")])
-    weight = F.col("_rows").cast("double") / (F.col("_classes") * F.col("n"))
-    return rated.select("label", "n", weight.alias("weight"))
-
-
-def _single(totals: DataFrame, column: str) -> Column:
-    """A one-row frame's value as a scalar subquery."""
-    return totals.select(column).scalar()
+    # One row per class by now, so a window over all of them is small and needs no second scan.
+    classes = Window.partitionBy(F.lit(1))
+    weight = F.sum("n").over(classes).cast("double") / (F.count("*").over(classes) * F.col("n"))
+    return counts.select("label", "n", weight.alias("weight"))
 
 
 def _ratio(part: Column, whole: Column) -> Column:

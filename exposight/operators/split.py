@@ -17,16 +17,15 @@ def class_quotas(counts: DataFrame, share: tuple[int, int] = fv.HELD_OUT_SHARE)
     Training places go by largest remainder (ties by label); the rest is held out.
     """
     part, whole = share
-    total = counts.agg(F.sum("n").alias("rows"))
-    rows = total.select(F.col("rows").cast("decimal(38,0)")).scalar()
-    n_train = F.col("_rows") - F.ceil(F.col("_rows") * part / whole).cast("decimal(38,0)")
-    sized = counts.select("label", "n", rows.cast("decimal(18,0)").alias("_rows"))
+    # One row per class, so windows over all of them are small.
+    everything = Window.partitionBy(F.lit(1))
+    rows = F.sum("n").over(everything).cast("decimal(18,0)")
+    sized = counts.select("label", "n", rows.alias("_rows"))
+    n_train = F.col("_rows") - F.ceil(F.col("_rows") * part / whole)
     places = F.col("n").cast("decimal(18,0)") * n_train.cast("decimal(18,0)")
     quota = sized.withColumns(
         {"_floor": F.floor(places / F.col("_rows")).cast("bigint"), "_n_train": n_train.cast("bigint")}
     ).withColumn("_rest", places - F.col("_floor").cast("decimal(18,0)") * F.col("_rows"))
-    # One row per class, so a window over all of them is small.
-    everything = Window.partitionBy(F.lit(1))
     by_rest = everything.orderBy(F.desc("_rest"), F.asc("label"))
     extra = F.row_number().over(by_rest) <= F.col("_n_train") - F.sum("_floor").over(everything)
     n_in_train = F.col("_floor") + extra.cast("bigint")

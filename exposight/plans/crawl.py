@@ -31,11 +31,14 @@ def parse_pages(
 ) -> DataFrame:
     """Replace nothing, add everything a page says: title, description, keywords, text and the
     lists images, emails, phone_numbers, contact_links, privacy_links, social_links."""
-    source = F.col(html)
-    read = pages.withColumns(
+    prepared = pages.withColumns(
+        {"_markup": h.drop_elements(F.col(html)), "_base": urls.base_parts(F.col(base_url))}
+    )
+    markup, base = F.col("_markup"), F.col("_base")
+    read = prepared.withColumns(
         {
-            "extracted_text": h.visible_text(source),
-            "_links": h.classified_links(source, F.col(base_url), social_domains, social_mode),
+            "extracted_text": h.visible_text(markup),
+            "_links": h.classified_links(markup, base, social_domains, social_mode),
         }
     )
 
@@ -46,11 +49,11 @@ def parse_pages(
     mail_links = F.transform(urls_where("is_mail"), lambda u: F.replace(u, F.lit("mailto:"), F.lit("")))
     return read.withColumns(
         {
-            "page_title": h.title(source),
-            "description": h.meta_content(source, "description"),
-            "keywords": h.meta_content(source, "keywords"),
+            "page_title": h.title(markup),
+            "description": h.meta_content(markup, "description"),
+            "keywords": h.meta_content(markup, "keywords"),
             "images": F.array_distinct(
-                F.transform(h.image_sources(source), lambda s: urls.resolve(F.col(base_url), s))
+                F.transform(h.image_sources(markup), lambda s: urls.resolve_from(base, s))
             ),
             "emails": F.array_distinct(F.concat(tx.emails_in(F.col("extracted_text")), mail_links)),
             "phone_numbers": F.array_distinct(tx.phones_in(F.col("extracted_text"))),
@@ -58,27 +61,31 @@ def parse_pages(
             "privacy_links": urls_where("is_privacy"),
             "social_links": urls_where("is_social"),
         }
-    ).drop("_links")
+    ).drop("_links", "_markup", "_base")
+
+
+def _child_rows(parsed: DataFrame, items: Column | str, name: str) -> DataFrame:
+    """One row per list entry. A plain explode would first filter on the list's size, and that
+    filter would be pushed down to where it parses every page a second time."""
+    return parsed.select("page_id", F.explode_outer(items).alias(name)).where(F.col(name).isNotNull())
 
 
 def page_emails(parsed: DataFrame) -> DataFrame:
-    return parsed.select("page_id", F.explode("emails").alias("email"))
+    return _child_rows(parsed, "emails", "email")
 
 
 def page_images(parsed: DataFrame) -> DataFrame:
-    return parsed.select("page_id", F.explode("images").alias("image_url"))
+    return _child_rows(parsed, "images", "image_url")
 
 
 def page_phones(parsed: DataFrame) -> DataFrame:
-    return parsed.select("page_id", F.explode("phone_numbers").alias("phone_number"))
+    return _child_rows(parsed, "phone_numbers", "phone_number")
 
 
 def page_links(parsed: DataFrame) -> DataFrame:
     """``page_id, url, link_type``; a link has one row per class it is in."""
-    typed = [
-        F.transform(f"{kind}_links", _typed(kind)) for kind in ("contact", "privacy", "social")
-    ]
-    return parsed.select("page_id", F.explode(F.concat(*typed)).alias("l")).select("page_id", "l.url", "l.link_type")
+    typed = F.concat(*[F.transform(f"{kind}_links", _typed(kind)) for kind in ("contact", "privacy", "social")])
+    return _child_rows(parsed, typed, "link").select("page_id", "link.url", "link.link_type")
 
 
 def _typed(kind: str):

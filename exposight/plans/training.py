@@ -94,7 +94,7 @@ class MailClassifier:
             )
             svc = LinearSVC(
                 featuresCol="features", labelCol="target", weightCol="weight", maxIter=max_iter,
-                regParam=1e-4, standardization=False,
+                regParam=1e-4, tol=1e-4, standardization=False,
             )
             machines.append(svc.fit(rows))
         return cls(labels, text_model, machines)

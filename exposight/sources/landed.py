@@ -44,9 +44,7 @@ def read_html_files(spark: SparkSession, path: str, candidates: DataFrame | None
     row; one without a file has no html and status null, which counts as failed.
     """
     files = (
-        spark.read.option("wholetext", "true")
-        .option("recursiveFileLookup", "true")
-        .text(path)
+        spark.read.text(path, wholetext=True, recursiveFileLookup=True)
         .select(
             F.concat(F.lit("file://"), F.regexp_replace(F.col("_metadata.file_path"), r"^file:/*", "/")).alias("final_url"),
             F.lit(200).alias("http_status"),

@@ -506,7 +506,7 @@ FROM (SELECT DISTINCT subject, body FROM {mails})"""
         ]
     )
     q["page_stats"] = _pages(f"SELECT page_id, {per_page} FROM cleared c")
-    report_columns = "label, round(p, 4) AS precision, round(r, 4) AS recall, round(f, 4) AS f1_score, support"
+    report_columns = "label, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1_score, support"
     q["classification_report"] = f"""WITH {_report('{predictions}', _SEEN, 'seen')}, {_report('{predictions}', _GIVEN, 'given')}
 SELECT {report_columns}, 'seen' AS classes FROM seen UNION ALL SELECT {report_columns}, 'given' FROM given"""
     q["class_weights"] = """SELECT label, count(*) AS n, round((SELECT CAST(count(*) AS DOUBLE) FROM {training}) / ((SELECT count(DISTINCT label) FROM {training}) * count(*)), 6) AS weight

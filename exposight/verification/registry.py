@@ -334,7 +334,7 @@ def page_stats(spark, d):
     return crawl.page_stats(_parsed(spark, d))
 
 
-def _rounded(report: DataFrame, digits: int = 4) -> DataFrame:
+def _rounded(report: DataFrame, digits: int = 6) -> DataFrame:
     return report.withColumns({m: F.round(m, digits) for m in ("precision", "recall", "f1_score")})
 
 
@@ -395,7 +395,7 @@ def search_queries(spark, d):
 
 @query
 def page_text(spark, d):
-    return spark_view(spark, d, "raw_pages").select("page_id", h.visible_text(F.col("html")).alias("extracted_text"))
+    return spark_view(spark, d, "raw_pages").select("page_id", h.visible_text(h.drop_elements(F.col("html"))).alias("extracted_text"))
 
 
 @query
@@ -438,7 +438,7 @@ def url_domain(spark, d):
 @query
 def url_resolve(spark, d):
     pages = spark_view(spark, d, "raw_pages")
-    links = pages.select("page_id", "url", F.explode(F.transform(h.anchors(F.col("html")), lambda a: a["href"])).alias("href"))
+    links = pages.select("page_id", "url", F.explode(F.transform(h.anchors(h.drop_elements(F.col("html"))), lambda a: a["href"])).alias("href"))
     return links.select("page_id", "href", urls.resolve(F.col("url"), F.col("href")).alias("resolved"))
 
 
@@ -562,6 +562,6 @@ def stream_dedup(spark, d):
     folder, out = work_folder(spark, "landed-hits"), work_folder(spark, "new-urls")
     hits = spark_view(spark, d, "hits").select("href")
     hits.write.parquet(folder)
-    stream = streams.landed_pages(spark, folder, "href string", files_per_batch=1)
+    stream = streams.landed_pages(spark, folder, "href string", files_per_batch=4)
     streams.write_new_urls(stream, out, work_folder(spark, "checkpoint")).awaitTermination()
     return spark.read.schema("url string").parquet(out)
