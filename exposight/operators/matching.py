@@ -19,6 +19,7 @@ of a measured size, so texts are not shuffled; what is shuffled are distinct
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +29,10 @@ from exposight.functions import people
 from exposight.functions.text import digits_only, phone_token_digits
 from exposight.session import BROADCAST_LIMIT_BYTES, materialise
 
-# (shortest term, stride, key length): long terms allow wide strides and long, rare keys.
-TIERS = [(15, 8, 8), (9, 4, 6), (6, 2, 5), (5, 1, 5), (4, 1, 4), (3, 1, 3), (2, 1, 2), (1, 1, 1)]
+# Terms of at least this length share one stride and key length, set by the shortest
+# of them; each shorter length is a group of its own, keyed whole at every position.
+LONG_TERM = 6
+WIDEST_STRIDE = 8
 
 # Texts are read in overlapping pieces of this many characters. Short pieces keep
 # reaching into a piece cheap and bound what one huge page puts into one row.
@@ -56,50 +59,66 @@ def _with_needles(terms: DataFrame) -> DataFrame:
     return named.where(F.col("needle") != "")
 
 
-def _tier_of(length: Column) -> Column:
-    tier = F.lit(len(TIERS) - 1)
-    for number in range(len(TIERS) - 2, -1, -1):
-        tier = F.when(length >= TIERS[number][0], number).otherwise(tier)
-    return tier
+@dataclass(frozen=True)
+class _Group:
+    """Terms found by the same keys."""
 
+    number: int
+    shortest: int
+    longest: int
 
-def _places(needles: DataFrame) -> DataFrame:
+    @property
+    def key_length(self) -> int:
+        half = min((self.shortest + 1) // 2, WIDEST_STRIDE)
+        return min(self.shortest, max(LONG_TERM - 1, half))
+
+    @property
+    def stride(self) -> int:
+        return min(WIDEST_STRIDE, self.shortest - self.key_length + 1)
+
+
+def _group_of(needle: Column) -> Column:
+    return F.least(F.length(needle), F.lit(LONG_TERM))
+
+
+def _places(needles: DataFrame, groups: list[_Group]) -> DataFrame:
     """Per key, the distinct places of a term around it: how far before the key it starts, its length."""
-    stride = F.element_at(F.array(*[F.lit(t[1]) for t in TIERS]), F.col("tier") + 1)
-    length = F.element_at(F.array(*[F.lit(t[2]) for t in TIERS]), F.col("tier") + 1)
-    shifted = needles.withColumns({"stride": stride, "key_length": length}).withColumn(
-        "shift", F.explode(F.sequence(F.lit(0), F.col("stride") - 1))
-    )
-    return shifted.select(
-        "tier",
-        F.substring("needle", F.col("shift") + 1, F.col("key_length")).alias("key"),
-        "shift",
+    keys = [
+        F.struct(F.lit(g.number).alias("group"), F.lit(shift).alias("shift"), F.lit(g.key_length).alias("key_length"))
+        for g in groups
+        for shift in range(g.stride)
+    ]
+    keyed = needles.withColumn("k", F.explode(F.array(*keys))).where(F.col("k.group") == F.col("group"))
+    return keyed.select(
+        "group",
+        F.substring("needle", F.col("k.shift") + 1, F.col("k.key_length")).alias("key"),
+        F.col("k.shift").alias("shift"),
         F.length("needle").alias("place_length"),
     ).distinct()
 
 
-def _text_keys(pages: DataFrame, page_id: str, text: Column, groups: dict[int, int]) -> DataFrame:
-    """Keys of all texts for the term lengths in use (``groups``: tier -> longest term).
+def _text_keys(pages: DataFrame, page_id: str, text: Column, groups: list[_Group]) -> DataFrame:
+    """Keys of all texts for the term lengths in use.
 
     A piece owns the terms starting in its first ``PIECE_CHARS`` characters and
     reaches far enough beyond them to hold the longest one whole.
     """
-    reach = PIECE_CHARS + max(groups.values())
+    reach = PIECE_CHARS + max(g.longest for g in groups)
     pattern = rf"(?s)(?=(.{{1,{reach}}})).{{1,{PIECE_CHARS}}}"
     pieces = pages.select(
         F.col(page_id).alias("page_id"),
         F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).alias("piece"),
     )
     spots = [
-        F.struct(F.lit(tier).alias("tier"), F.lit(at).alias("at"), F.lit(TIERS[tier][2]).alias("key_length"))
-        for tier in sorted(groups)
-        for at in range(1, PIECE_CHARS + TIERS[tier][1] + 1, TIERS[tier][1])
+        F.struct(F.lit(g.number).alias("group"), F.lit(at).alias("at"), F.lit(g.key_length).alias("key_length"))
+        for g in groups
+        for at in range(1, PIECE_CHARS + g.stride + 1, g.stride)
     ]
     spotted = pieces.select("page_id", "piece", F.explode(F.array(*spots)).alias("spot"))
     return spotted.select(
         "page_id",
         "piece",
-        F.col("spot.tier").alias("tier"),
+        F.col("spot.group").alias("group"),
         F.col("spot.at").alias("at"),
         F.substring("piece", F.col("spot.at"), F.col("spot.key_length")).alias("key"),
     )
@@ -116,38 +135,40 @@ def needle_hits(
     """Distinct ``(page_id, in_digits, needle)`` with the needle contained in the page."""
     if phone_mode not in ("page_digits", "token"):
         raise ValueError(f"unknown phone mode: {phone_mode}")
-    tiered = needles.select("in_digits", "needle").distinct().withColumn("tier", _tier_of(F.length("needle")))
+    grouped = needles.select("in_digits", "needle").distinct().withColumn("group", _group_of(F.col("needle")))
     sizes = (
-        tiered.groupBy("in_digits", "tier")
+        grouped.groupBy("in_digits", "group")
         .agg(
             F.count("*").alias("n"),
+            F.min(F.length("needle")).alias("shortest"),
             F.max(F.length("needle")).alias("longest"),
             F.sum(F.octet_length("needle")).alias("bytes"),
         )
-        .collect()  # at most two rows per tier
+        .orderBy("in_digits", "group")
+        .collect()  # at most two rows per group
     )
     haystack = {
         False: F.lower(F.col(text)),
         True: digits_only(F.col(text)) if phone_mode == "page_digits" else phone_token_digits(F.col(text)),
     }
-    total = sum((r["bytes"] + r["n"] * _KEY_ROW_BYTES) * (TIERS[r["tier"]][1] + 1) for r in sizes)
+    total = sum((r["bytes"] + r["n"] * _KEY_ROW_BYTES) * (WIDEST_STRIDE + 1) for r in sizes)
     n_slices = max(1, math.ceil(total / limit_bytes))
 
     found = None
     for in_digits in (False, True):
-        groups = {r["tier"]: r["longest"] for r in sizes if r["in_digits"] == in_digits}
+        groups = [_Group(r["group"], r["shortest"], r["longest"]) for r in sizes if r["in_digits"] == in_digits]
         if not groups:
             continue
         text_keys = _text_keys(pages, page_id, haystack[in_digits], groups)
         for number in range(n_slices):
-            part = tiered.where(F.col("in_digits") == in_digits).select("needle", "tier")
+            part = grouped.where(F.col("in_digits") == in_digits).select("needle", "group")
             if n_slices > 1:
                 # More terms than may be broadcast: another pass over the texts per slice,
                 # which moves less than shuffling every key of every text.
                 part = part.where(F.pmod(F.xxhash64("needle"), F.lit(n_slices)) == number)
             starts_at = F.col("at") - F.col("shift")
             candidates = (
-                text_keys.join(F.broadcast(_places(part)), ["tier", "key"])
+                text_keys.join(F.broadcast(_places(part, groups)), ["group", "key"])
                 .where(starts_at >= 1)
                 .select("page_id", F.substring("piece", starts_at, F.col("place_length")).alias("needle"))
             )

@@ -51,14 +51,15 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, few: int = 32) -> DataFrame:
     """Give a plain scan at least one partition per core.
 
-    Scans of real size have far more partitions than cores and come back unchanged;
-    a small file with one row group would otherwise keep a single core busy.
+    Scans of real size have far more partitions than cores and come back
+    unchanged. A scan of a few splits may be one row group, which a single task
+    would read whatever the number of splits.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < max(cores, few) else df
 
 
 def small_enough(df: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES, row_overhead: int = 64) -> bool:
