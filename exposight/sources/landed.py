@@ -55,15 +55,16 @@ def read_html_files(spark: SparkSession, path: str, candidates: DataFrame | None
     if candidates is None:
         return files
     wanted = candidates.select(F.col("id").alias("search_result_id"), F.col("url").alias("final_url"))
-    # Paths in file urls may be percent-encoded.
-    keyed = wanted.withColumn("_path", F.try_url_decode(F.replace("final_url", F.lit("+"), F.lit("%2B"))))
-    found = files.withColumnRenamed("final_url", "_path")
+    # Paths in file urls are percent-encoded, on either side or on one only.
+    plain = F.try_url_decode(F.replace("final_url", F.lit("+"), F.lit("%2B")))
+    keyed = wanted.withColumn("_path", F.coalesce(plain, "final_url"))
+    found = files.withColumn("_path", F.coalesce(plain, "final_url")).drop("final_url")
     return keyed.join(found, "_path", "left").drop("_path")
 
 
 def read_report_history(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(REPORT_SCHEMA).option("header", "true").csv(path)
+    return spark.read.schema(REPORT_SCHEMA).option("header", "true").option("escape", '"').csv(path)
 
 
 def read_mistakes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(MISTAKE_SCHEMA).option("header", "true").csv(path)
+    return spark.read.schema(MISTAKE_SCHEMA).option("header", "true").option("escape", '"').csv(path)
