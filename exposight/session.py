@@ -24,7 +24,6 @@ def local_session(cores: str = "8", app: str = "exposight", shuffle_partitions:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.extraJavaOptions", "-Xss16m")
         .getOrCreate()
     )
 
