@@ -139,11 +139,13 @@ def with_email_text(rows: DataFrame) -> DataFrame:
     return rows.withColumn("email_text", email_text()).where(F.col("email_text").isNotNull())
 
 
-def training_loop(stored: DataFrame, seed: int = fv.SPLIT_SEED) -> tuple[MailClassifier, DataFrame, DataFrame, DataFrame]:
+def training_loop(
+    stored: DataFrame, seed: int = fv.SPLIT_SEED, max_iter: int = 50
+) -> tuple[MailClassifier, DataFrame, DataFrame, DataFrame]:
     """Read, split, fit, predict held-out rows: model, predictions, report, mistakes."""
     rows = with_email_text(training_set(stored)).select("id", "sender_email_domain", "email_text", "training_label")
     split = materialise(stratified_split(rows, "id", "training_label", seed), "training-split")
-    model = MailClassifier.fit(split.where(~F.col("is_test")))
+    model = MailClassifier.fit(split.where(~F.col("is_test")), max_iter=max_iter)
     predictions = model.predict(split.where("is_test")).select(
         F.col("id").alias("email_id"), F.col("training_label").alias("actual"), "predicted"
     )

@@ -86,7 +86,7 @@ def test_classifier_learns_saves_and_loads(spark, tmp_path):
     stored = spark.createDataFrame(
         rows, "id bigint, original_sender_string string, sender_email_domain string, subject string, body string, label string, human_label string, human_verified boolean"
     )
-    model, predictions, report, wrong = training.training_loop(stored)
+    model, predictions, report, wrong = training.training_loop(stored, max_iter=15)
     scores = {r["label"]: r["f1_score"] for r in report.collect()}
     assert scores["macro avg"] >= 0.95 and predictions.count() == 80
     assert wrong.columns == ["email_id", "actual", "predicted", "sender_email_domain"]
