@@ -31,7 +31,7 @@ from exposight.llm.batches import map_values
 PER_LANGUAGE = 500  # bound of the training sample, documents per language
 BUCKET_BITS = 15
 DIMENSIONS = 16
-EPOCHS, BATCH, RATE = 8, 16, 0.5
+STEPS, BATCH, RATE = 800, 16, 2.0
 LENGTHS = (2, 3)
 MAX_ERROR = 0.01
 LEAST_SCORE = 0.5
@@ -115,7 +115,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def training_sample(labelled: DataFrame, per_language: int, id_col: str, text_col: str, lang_col: str) -> list:
-    """At most ``per_language`` rows of each language as (lang, buckets, counts), chosen and ordered by hash."""
+    """At most ``per_language`` rows of each language as (lang, rank, buckets, counts), chosen and ranked by hash."""
     rows = labelled.select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
     ).where("lang IS NOT NULL AND text IS NOT NULL")
@@ -140,7 +140,7 @@ def training_sample(labelled: DataFrame, per_language: int, id_col: str, text_co
 
     sample = chosen.select("lang", "rank", "text").mapInPandas(counted, "lang string, rank int, buckets array<int>, counts array<bigint>")
     frame = sample.toPandas().sort_values(["rank", "lang"])
-    return [(r.lang, np.asarray(r.buckets), np.asarray(r.counts, dtype=float)) for r in frame.itertuples() if len(r.buckets)]
+    return [(r.lang, r.rank, np.asarray(r.buckets), np.asarray(r.counts, dtype=float)) for r in frame.itertuples() if len(r.buckets)]
 
 
 def train(
@@ -151,44 +151,46 @@ def train(
 
 
 def fit(sample: list, seed: int = 7) -> Model:
-    languages = sorted({lang for lang, _, _ in sample})
+    languages = sorted({x[0] for x in sample})
     if not languages:
         return Model([], np.zeros((1 << BUCKET_BITS, 0)), np.zeros(0))
-    held = [x for i, x in enumerate(sample) if i % 4 == 3]
-    learned = [x for i, x in enumerate(sample) if i % 4 != 3]
+    held = [x for x in sample if x[1] % 4 == 0]
+    learned = [x for x in sample if x[1] % 4 != 0]
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.1, (1 << BUCKET_BITS, DIMENSIONS))
     weights = rng.normal(0, 0.1, (DIMENSIONS, len(languages)))
     bias = np.zeros(len(languages))
     number = {lang: i for i, lang in enumerate(languages)}
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
-        order = rng.permutation(len(learned))
-        for start in range(0, len(order), BATCH):
-            batch = [learned[i] for i in order[start : start + BATCH]]
-            buckets = np.concatenate([b for _, b, _ in batch])
-            share = np.concatenate([c / c.sum() for _, _, c in batch])
-            starts = np.cumsum([0, *[len(b) for _, b, _ in batch[:-1]]])
-            mean = np.add.reduceat(vectors[buckets] * share[:, None], starts, axis=0)
-            error = softmax(mean @ weights + bias)
-            error[np.arange(len(batch)), [number[lang] for lang, _, _ in batch]] -= 1
-            down = error @ weights.T
-            weights -= rate * mean.T @ error / len(batch)
-            bias -= rate * error.mean(axis=0)
-            # Mean vectors change little per bucket: the step is scaled by the text's number of buckets.
-            owner = np.repeat(np.arange(len(batch)), [len(b) for _, b, _ in batch])
-            step = np.sqrt([len(b) for _, b, _ in batch])[owner] * share
-            np.add.at(vectors, buckets, -rate * step[:, None] * down[owner])
+    queue: list[int] = []
+    for done in range(STEPS):
+        rate = RATE * (1 - done / STEPS)
+        while len(queue) < min(BATCH, len(learned)):
+            queue += rng.permutation(len(learned)).tolist()
+        batch, queue = [learned[i] for i in queue[:BATCH]], queue[BATCH:]
+        buckets = np.concatenate([b for _, _, b, _ in batch])
+        share = np.concatenate([c / c.sum() for _, _, _, c in batch])
+        starts = np.cumsum([0, *[len(b) for _, _, b, _ in batch[:-1]]])
+        mean = np.add.reduceat(vectors[buckets] * share[:, None], starts, axis=0)
+        error = softmax(mean @ weights + bias)
+        error[np.arange(len(batch)), [number[lang] for lang, *_ in batch]] -= 1
+        error /= len(batch)
+        down = error @ weights.T
+        weights -= rate * mean.T @ error
+        bias -= rate * error.sum(axis=0)
+        # Scaled so that a step moves a text's mean as far as if it were one bucket, however long the text.
+        scale = 1 / np.add.reduceat(share * share, starts)
+        owner = np.repeat(np.arange(len(batch)), [len(b) for _, _, b, _ in batch])
+        np.add.at(vectors, buckets, -rate * (share * scale[owner])[:, None] * down[owner])
     model = Model(languages, (vectors @ weights).astype(np.float32), bias)
     return calibrate(model, held or learned)
 
 
 def calibrate(model: Model, held: list) -> Model:
     """Temperature by the likelihood of the held-out rows, threshold by their errors."""
-    logits = np.array([(model.table[b] * c[:, None]).sum(axis=0) / c.sum() + model.bias for _, b, c in held])
-    truth = np.array([model.languages.index(lang) for lang, _, _ in held])
+    logits = np.array([(model.table[b] * c[:, None]).sum(axis=0) / c.sum() + model.bias for _, _, b, c in held])
+    truth = np.array([model.languages.index(lang) for lang, _, _, _ in held])
     at = np.arange(len(held))
-    grid = np.geomspace(0.02, 5, 60)
+    grid = np.geomspace(0.25, 8, 50)
     model.temperature = float(min(grid, key=lambda t: -np.log(softmax(logits / t)[at, truth] + 1e-12).mean()))
     p = softmax(logits / model.temperature)
     score, wrong = p.max(axis=1), p.argmax(axis=1) != truth
