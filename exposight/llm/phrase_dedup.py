@@ -41,7 +41,7 @@ from exposight.llm.batches import map_values
 from exposight.session import materialise
 
 WINDOW, GRAM = 50, 8
-PART_ROWS = 1_000
+PART_ROWS = 1_000  # segments
 SHARD_ROWS = 20_000
 PASSAGES = 10_000
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -67,7 +67,7 @@ def _power(base: int, n: int) -> np.ndarray:
         held = np.full(size, base, dtype=np.uint64)
         held[0] = 1
         held = np.multiply.accumulate(held)
-        if size <= 1 << 20:
+        if size <= 1 << 22:
             _powers[base] = held
     return held[:n]
 
@@ -108,7 +108,7 @@ def anchors_of(words: list[bytes], window: int, gram: int) -> tuple[np.ndarray,
 
 
 def _anchor_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """``doc_id, anchors, same``: the distinct anchors of each text, and a hash of its words."""
+    """``doc_id, anchors, same``: the anchors of each text and how often they stand there, and a hash of its words."""
 
     def work(texts: list) -> list[tuple]:
         found = []
@@ -116,10 +116,11 @@ def _anchor_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
             words = words_of(text)
             at, phrases = anchors_of(words, window, gram)
             same = hashlib.md5(b" ".join(words)).digest() if len(at) else None
-            found.append((np.unique(phrases[np.unique(at)]).view(np.int64), same))
+            names, times = np.unique(phrases[np.unique(at)], return_counts=True)
+            found.append((names.view(np.int64), times, same))
         return found
 
-    return map_values(docs, "doc_id", "text", work, "anchors array<bigint>, same binary")
+    return map_values(docs, "doc_id", "text", work, "anchors array<bigint>, times array<bigint>, same binary")
 
 
 def _segments(words: list[bytes], shared: np.ndarray, parts: np.ndarray, window: int, gram: int) -> list[dict]:
@@ -169,16 +170,16 @@ def _windows(segments: DataFrame, window: int) -> DataFrame:
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates(["anchor", "doc_id", "place"])
-        hashes, sizes, begins = ([], []), [], []
-        for first, place, words in zip(pdf["first"], pdf["place"], pdf["words"]):
-            each = word_hashes(words.encode().split())
-            for held, base in zip(hashes, BASES):
-                held.append(run_hashes(each, window, base))
-            sizes.append(len(hashes[0][-1]))
-            begins.append(first - place)
-        a, b = (np.concatenate(held).view(np.int64) for held in hashes)
+        # All segments in one sequence of words; only runs within a segment count.
+        each = word_hashes(" ".join(pdf["words"]).encode().split())
+        sizes = pdf["words"].str.count(" ").to_numpy() + 2 - window
+        begins = (pdf["first"] - pdf["place"]).to_numpy()
+        ends = np.cumsum(sizes + window - 1)
+        inside = np.arange(len(each)) < np.repeat(ends - window + 1, sizes + window - 1)
+        at = np.flatnonzero(inside)
+        a, b = (run_hashes(each, window, base)[at].view(np.int64) for base in BASES)
         row = np.repeat(np.arange(len(sizes)), sizes)
-        offset = np.repeat(np.array(begins) - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(len(row))
+        offset = np.repeat(begins - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(len(row))
         doc, place = pdf["doc_id"].to_numpy()[row], pdf["place"].to_numpy()[row]
         marks = np.array([xxhash.xxh3_64_intdigest(f"{d}:{p}") for d, p in zip(pdf["doc_id"], pdf["place"])], dtype=np.uint64)
         order = np.lexsort((place, doc, b, a))
@@ -239,8 +240,8 @@ def removed_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, part
         rows.select("doc_id", "same").join(copied, "same").where("first < doc_id").select("doc_id").distinct(), "phrase-copies"
     )
 
-    shared = rows.select("doc_id", F.explode("anchors").alias("anchor")).groupBy("anchor")
-    shared = shared.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.count(F.lit(1)).alias("n"))
+    shared = rows.select("doc_id", F.explode(F.arrays_zip("anchors", "times")).alias("at")).groupBy(F.col("at.anchors").alias("anchor"))
+    shared = shared.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.sum("at.times").alias("n"))
     shared = shared.where("a < z").select("anchor", F.ceil(F.col("n") / part_rows).alias("parts"))
     shared = materialise(shared, "phrase-shared")
     placed = rows.join(copies, "doc_id", "left_anti").select("doc_id", F.explode("anchors").alias("anchor"))
@@ -251,7 +252,7 @@ def removed_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, part
     segments = materialise(cut.select("doc_id", F.explode("segments").alias("s")).select("doc_id", "s.*"), "phrase-segments")
     shards = max(1, -(-segments.count() // SHARD_ROWS))
     shard = F.pmod(F.xxhash64("anchor", F.lit(1)), F.lit(shards)).alias("shard")
-    dealt = segments.select(shard, F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part"), "*")
+    dealt = segments.select(shard, F.pmod(F.xxhash64("doc_id", "place"), F.col("parts")).alias("part"), "*")
     passages = materialise(_passages(_windows(dealt, window)), "phrase-passages")
 
     # Words of a passage, from the segment where it stands first.
