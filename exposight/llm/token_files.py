@@ -19,6 +19,9 @@ one; an empty table makes no file and gives no rows; other columns are left out.
 
 from __future__ import annotations
 
+import json
+import re
+import struct
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -200,24 +203,49 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     return files.repartition(n, "path").mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
 
 
-class WordCache:
+# What the fast way of WordCache relies on, as tokenizers files write it.
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {
+            "type": "Split",
+            "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+            "behavior": "Removed",
+            "invert": True,
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+# Letters, digits and signs of Latin-1 that composing leaves alone and lower-casing maps one to one;
+# no apostrophe (contractions) and no "<" (special tokens).
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:;=-@\\[-`{-~]+")
+# Byte-level models write a byte that is no visible Latin-1 character as the next one from U+0100 on.
+_VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+SPELLING = {byte: 256 + i for i, byte in enumerate(b for b in range(256) if b not in _VISIBLE)}
+_PIECE = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+
+class WordCache(dict):
     """A tokenizers file as an ``encode`` function. The model drops white space and never joins over it, so ids of
-    a text are the ids of its words in order; each new word is encoded once per worker, and the memory of words is
-    emptied when it is full."""
+    a text are the ids of its words in order. A word is encoded when it is met first, and remembered while there is
+    room. Plain words go to the library's BPE model piece by piece, as its pre-tokeniser would cut them, if the file
+    asks for that normaliser and pre-tokeniser; all others go through the whole library."""
 
-    LIMIT = 1_000_000
-    LONG = 64  # bytes; longer words are not kept
+    LIMIT = 600_000
+    LONG = 24  # bytes; longer words are not kept
 
     def __init__(self, path: str):
+        super().__init__()
         self.path = path
-        self._words: dict[bytes, bytes] = {}
+        self._pieces: dict[str, bytes] = {}
         self._model = None
 
-    def __getstate__(self):
-        return {"path": self.path}
-
-    def __setstate__(self, state):
-        self.__init__(state["path"])
+    def __reduce__(self):
+        return WordCache, (self.path,)
 
     @property
     def model(self):
@@ -225,26 +253,43 @@ class WordCache:
             from tokenizers import Tokenizer
 
             self._model = Tokenizer.from_file(self.path)
+            spec = json.loads(self._model.to_str())
+            self._plain = spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"] == PRE_TOKENIZER
+            self._merge = self._model.model.tokenize
         return self._model
 
     @property
     def vocabulary(self) -> int:
         return self.model.get_vocab_size()
 
-    def _encode(self, words: list[bytes]) -> Iterator[bytes]:
-        for k in range(0, len(words), 4096):
-            found = self.model.encode_batch_fast([w.decode() for w in words[k : k + 4096]], add_special_tokens=False)
-            yield from (np.array(e.ids, "<u4").tobytes() for e in found)
+    def __missing__(self, word: bytes) -> bytes:
+        model, text = self.model, word.decode()
+        if self._plain and _PLAIN.fullmatch(text):
+            ids = b"".join(map(self._piece, _PIECE.findall(text.lower())))
+        else:
+            ids = _uint32(model.encode(text, add_special_tokens=False).ids)
+        if len(word) <= self.LONG:
+            self[word] = ids
+        return ids
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.encode().split() for t in texts]
-        if len(self._words) > self.LIMIT:
-            self._words.clear()
-        new = list({w: None for words in split for w in words if w not in self._words})
-        known = self._words
-        known.update(zip(new, self._encode(new)))
-        ids = [b"".join(map(known.__getitem__, words)) for words in split]
-        for w in new:
-            if len(w) > self.LONG:
-                del known[w]
+    def _piece(self, piece: str) -> bytes:
+        ids = self._pieces.get(piece)
+        if ids is None:
+            ids = _uint32([token.id for token in self._merge(piece.encode().decode("latin-1").translate(SPELLING))])
+            if len(piece) <= self.LONG:
+                self._pieces[piece] = ids
         return ids
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        found = []
+        for text in texts:
+            if len(self) > self.LIMIT:
+                self.clear()
+            if len(self._pieces) > self.LIMIT:
+                self._pieces.clear()
+            found.append(b"".join(map(self.__getitem__, text.encode().split())))
+        return found
+
+
+def _uint32(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
