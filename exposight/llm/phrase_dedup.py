@@ -272,7 +272,7 @@ def removed_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, part
         "shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), of_slice.alias("slice"),
         F.lit(True).alias("passage"), "doc_id", F.lit(0).cast("bigint").alias("first"), "words",
     )
-    streams = dealt.join(found.select("anchor").distinct(), "anchor", "left_semi").join(slices, "shard").select(
+    streams = dealt.join(slices, "shard").select(
         "shard", "part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1)).alias("slice"),
         F.lit(False).alias("passage"), "doc_id", "first", "words",
     )
