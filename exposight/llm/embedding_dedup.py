@@ -124,7 +124,7 @@ def near_duplicates(
     known = classes.join(counts, "node", "left").join(groups, "node", "left")
     known = known.withColumn("group", F.coalesce("group", "node"))
     known = materialise(known.select("label", "embedding", "first", "copies", "links", "group"), "vector-groups")
-    least = known.groupBy("group").agg(F.min("first").alias("component_id"))
+    least = materialise(known.groupBy("group").agg(F.min("first").alias("component_id")), "vector-least")
     own = F.coalesce("links", F.lit(0)) + F.col("copies") - 1
     known = materialise(
         known.join(least, "group").select("label", "embedding", own.alias("n_links"), "component_id"), "vector-known"
