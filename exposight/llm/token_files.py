@@ -19,6 +19,7 @@ one; an empty table makes no file and gives no rows; other columns are left out.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import struct
@@ -229,23 +230,37 @@ SPELLING = {byte: 256 + i for i, byte in enumerate(b for b in range(256) if b no
 _PIECE = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
+class _Pieces(dict):
+    """Lower-cased pieces of plain words and their ids."""
+
+    def __init__(self, merge: Callable[[str], list], longest: int):
+        super().__init__()
+        self.merge, self.longest = merge, longest
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = _uint32([token.id for token in self.merge(piece.encode().decode("latin-1").translate(SPELLING))])
+        if len(piece) <= self.longest:
+            self[piece] = ids
+        return ids
+
+
 class WordCache(dict):
     """A tokenizers file as an ``encode`` function. The model drops white space and never joins over it, so ids of
     a text are the ids of its words in order. A word is encoded when it is met first, and remembered while there is
     room. Plain words go to the library's BPE model piece by piece, as its pre-tokeniser would cut them, if the file
     asks for that normaliser and pre-tokeniser; all others go through the whole library."""
 
-    LIMIT = 600_000
+    LIMIT = 1_000_000
+    PIECES = 600_000
     LONG = 24  # bytes; longer words are not kept
 
     def __init__(self, path: str):
         super().__init__()
         self.path = path
-        self._pieces: dict[str, bytes] = {}
         self._model = None
 
     def __reduce__(self):
-        return WordCache, (self.path,)
+        return word_cache, (self.path,)
 
     @property
     def model(self):
@@ -255,7 +270,7 @@ class WordCache(dict):
             self._model = Tokenizer.from_file(self.path)
             spec = json.loads(self._model.to_str())
             self._plain = spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"] == PRE_TOKENIZER
-            self._merge = self._model.model.tokenize
+            self._pieces = _Pieces(self._model.model.tokenize, self.LONG)
         return self._model
 
     @property
@@ -265,31 +280,29 @@ class WordCache(dict):
     def __missing__(self, word: bytes) -> bytes:
         model, text = self.model, word.decode()
         if self._plain and _PLAIN.fullmatch(text):
-            ids = b"".join(map(self._piece, _PIECE.findall(text.lower())))
+            ids = b"".join(map(self._pieces.__getitem__, _PIECE.findall(text.lower())))
         else:
             ids = _uint32(model.encode(text, add_special_tokens=False).ids)
         if len(word) <= self.LONG:
             self[word] = ids
         return ids
 
-    def _piece(self, piece: str) -> bytes:
-        ids = self._pieces.get(piece)
-        if ids is None:
-            ids = _uint32([token.id for token in self._merge(piece.encode().decode("latin-1").translate(SPELLING))])
-            if len(piece) <= self.LONG:
-                self._pieces[piece] = ids
-        return ids
-
     def __call__(self, texts: list[str]) -> list[bytes]:
-        found = []
+        found, _ = [], self.model
         for text in texts:
             if len(self) > self.LIMIT:
                 self.clear()
-            if len(self._pieces) > self.LIMIT:
+            if len(self._pieces) > self.PIECES:
                 self._pieces.clear()
             found.append(b"".join(map(self.__getitem__, text.encode().split())))
         return found
 
 
+@functools.cache
+def word_cache(path: str) -> WordCache:
+    """The one of this process: tasks that a worker runs one after the other share what it has learned."""
+    return WordCache(path)
+
+
 def _uint32(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
