@@ -16,6 +16,7 @@ get one row each; an empty table gives no rows; other columns are left out.
 from __future__ import annotations
 
 import base64
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ OVERLAP = 1 << 10
 class Encoder:
     """Merge ranks and a pattern, by the path of a rank file."""
 
-    LIMIT = 1_000_000
+    LIMIT = 200_000
     LONG = 64  # characters; longer pieces are not kept
 
     def __init__(self, path: str, pattern: str):
@@ -44,11 +45,8 @@ class Encoder:
         self._pieces: dict[str, bytes] = {}
         self._model = self._match = self._bytes = None
 
-    def __getstate__(self):
-        return {"path": self.path, "pattern": self.pattern}
-
-    def __setstate__(self, state):
-        self.__init__(**state)
+    def __reduce__(self):
+        return encoder_of, (self.path, self.pattern)
 
     def _load(self) -> None:
         if self._model is None:
@@ -92,6 +90,12 @@ class Encoder:
         return b"".join(map(self._bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+@functools.cache
+def encoder_of(path: str, pattern: str) -> Encoder:
+    """The one of this process: tasks that a worker runs one after the other share the pieces it has met."""
+    return Encoder(path, pattern)
+
+
 def _chunks(texts: DataFrame, chunk: int, overlap: int) -> DataFrame:
     """``key, text`` → ``key, i, last, text``: characters from i * chunk, and the overlap and one more behind."""
 
