@@ -113,6 +113,7 @@ ZERO_WIDTH_CHARS = "".join(map(chr, [0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0xF
 
 # --- Fixed values: elements whose content is not page text ----------------------
 NON_TEXT_TAGS = ["script", "style", "noscript", "svg", "iframe"]
+HIDDEN_TEXT_TAGS = ["template", "rt", "rp"]
 
 # --- Fixed values: scores -------------------------------------------------------
 RISK_POINTS = {"email": 25, "phone": 40}
@@ -129,6 +130,8 @@ DECIDED_STATUSES = ["verified", "false_positive", "ignored"]
 VOCABULARY_SIZE = 10_000
 HELD_OUT_SHARE = (1, 5)
 SPLIT_SEED = 42
+SVM_PENALTY = 1.0
+SVM_ITERATIONS = 1000
 SEQUENCE_LENGTH = 256
 HITS_PER_QUERY = 10
 INBOX_SIZE = 500

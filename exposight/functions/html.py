@@ -1,8 +1,8 @@
 """HTML columns: text, title, meta tags, images and classified links.
 
 Pages are read as regular text with patterns, so everything stays inside the
-JVM. Known limits: an attribute value holding ``>`` ends its tag early, and an
-unclosed dropped element (``<svg>`` without ``</svg>``) is kept.
+JVM. A quoted attribute value may hold ``>``; a dropped element that is never
+closed ends with the page.
 """
 
 from __future__ import annotations
@@ -20,8 +20,13 @@ from exposight.functions import urls
 _CUT = "\u0001"
 # Possessive runs of "anything but <" keep every pattern linear and free of deep recursion.
 _COMMENT = r"<!--[^-]*+(?:-(?!->)[^-]*+)*+-->"
-_TAG = rf"{_COMMENT}|<[/!A-Za-z][^>]*+>"
+# What stands in a tag: anything but its end, with quoted values, which start behind "=", taken whole.
+_QUOTED = r"""=\s*+(?:"[^"]*+"|'[^']*+')?+"""
+_INSIDE = rf"(?:[^>=]++|{_QUOTED})*+"
+_TAG = rf"{_COMMENT}|<[/!A-Za-z]{_INSIDE}>"
 _VALUE = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
+# Attributes before a certain one; a quoted value is never entered.
+_BEFORE = rf"(?:[^>=]|{_QUOTED})*?"
 
 
 def _named_characters() -> dict[str, str]:
@@ -96,10 +101,19 @@ def decode_entities(text: Column) -> Column:
 
 def drop_elements(html: Column, tags: list[str] = fv.NON_TEXT_TAGS) -> Column:
     """Html without comments and without the given elements and their content."""
-    pattern = rf"(?i){_COMMENT}|<({'|'.join(tags)})\b[^<]*+(?:<(?!/\1\s*>)[^<]*+)*+</\1\s*>"
+    content = r"[^<]*+(?:<(?!/\1\s*+>)[^<]*+)*+(?:</\1\s*+>|\z)"
+    pattern = rf"(?i){_COMMENT}|<({'|'.join(tags)})(?=[\s/>]){_INSIDE}(?:(?<=/)>|>{content})"
     return F.regexp_replace(html, pattern, _CUT)
 
 
+def drop_hidden_text(markup: Column) -> Column:
+    """Without elements whose text is not page text, though links and images in them count."""
+    tags = "|".join(fv.HIDDEN_TEXT_TAGS)
+    end = r"(?:</\1\s*+>|(?=</ruby)|\z)"
+    content = r"[^<]*+(?:<(?!/\1\s*+>|/ruby)[^<]*+)*+"
+    return F.regexp_replace(markup, rf"(?i)<({tags})(?=[\s/>]){_INSIDE}>{content}{end}", _CUT)
+
+
 def text_nodes(html: Column) -> Column:
     """Text between tags, comments and dropped elements; entities still encoded."""
     return F.split(F.regexp_replace(html, _TAG, _CUT), _CUT)
@@ -110,7 +124,7 @@ def visible_text(markup: Column) -> Column:
 
     ``markup`` is html after ``drop_elements``, as for all functions below.
     """
-    return _joined_nodes(markup, " ")
+    return _joined_nodes(drop_hidden_text(markup), " ")
 
 
 def _joined_nodes(html: Column, separator: str) -> Column:
@@ -139,29 +153,29 @@ def _value_text(raw: Column) -> Column:
 
 
 def _attribute(tag: Column, name: str) -> Column:
-    return _value_text(F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*{_VALUE}", 1))
+    return _value_text(F.regexp_extract(tag, rf"(?is)^<{_BEFORE}\s{name}\s*=\s*{_VALUE}", 1))
 
 
 def title(markup: Column) -> Column:
-    return _joined_nodes(F.regexp_extract(markup, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1), "")
+    return _joined_nodes(F.regexp_extract(markup, rf"(?is)<title\b{_INSIDE}>(.*?)</title\s*>", 1), "")
 
 
 def meta_content(markup: Column, name: str) -> Column:
     """``content`` of the first ``<meta name=...>``, ``""`` when there is none."""
-    tags = F.regexp_extract_all(markup, F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0))
+    tags = F.regexp_extract_all(markup, F.lit(rf"(?is)<meta\b{_INSIDE}>"), F.lit(0))
     named = F.filter(tags, lambda t: _attribute(t, "name") == name)
     return F.coalesce(_attribute(F.get(named, F.lit(0)), "content"), F.lit(""))
 
 
 def image_sources(markup: Column) -> Column:
-    pattern = rf"(?is)<img\b[^>]*?\ssrc\s*=\s*{_VALUE}"
+    pattern = rf"(?is)<img\b{_BEFORE}\ssrc\s*=\s*{_VALUE}"
     raw = F.regexp_extract_all(markup, F.lit(pattern), F.lit(1))
     return F.transform(raw, _value_text)
 
 
 # An opening tag with what follows up to the next opening or closing one.
-_ANCHOR = r"(?i)<a\s[^>]*+>[^<]*+(?:<(?!/?a[\s>])[^<]*+)*+"
-_HREF = rf"(?is)^<a\s(?:[^>]*?\s)?href\s*=\s*{_VALUE}"
+_ANCHOR = rf"(?i)<a\s{_INSIDE}>[^<]*+(?:<(?!/?a[\s>])[^<]*+)*+"
+_HREF = rf"(?is)^<a{_BEFORE}\shref\s*=\s*{_VALUE}"
 
 
 def anchors(markup: Column) -> Column:

@@ -5,18 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Name <address>, quoted or plain name; or a bare address with an optional (comment).
-_NAMED = r"""^\s*(?:"([^"]*)"|([^"<>,@()]*?))\s*<([^<>@\s,]+@[^<>@\s,]+)>\s*$"""
-_BARE = r"^\s*([^<>@\s,()]+@[^<>@\s,()]+)\s*(?:\(([^)]*)\))?\s*$"
+_QUOTED = r'"(?:[^"\\]++|\\.)*+"'
+_COMMENT = r"\((?:[^()\\]++|\\.)*+\)"
+_WORDS = r'[^"<>,@():;\\\[\]]++'
+# With or without a domain; never two "@".
+_ADDRESS = r'[^<>@\s,"():;]++(?:@[^<>@\s,"():;]++)?'
+# Words, quoted words and comments before <address>; or a bare address with an optional (comment).
+_NAMED = rf"(?s)^((?:{_QUOTED}|{_COMMENT}|{_WORDS})*+)<\s*({_ADDRESS})\s*>\s*$"
+_BARE = rf"^\s*({_ADDRESS})\s*(?:\(([^()]*)\))?\s*$"
+
+
+def _display_name(phrase: Column) -> Column:
+    """Words and quoted words in order, comments behind them in brackets."""
+    parts = F.regexp_extract_all(phrase, F.lit(rf'(?s){_QUOTED}|{_COMMENT}|[^\s"(]++'), F.lit(0))
+
+    def inside(part: Column) -> Column:
+        return F.regexp_replace(F.substring(part, F.lit(2), F.length(part) - 2), r"(?s)\\(.)", "$1")
+
+    words = F.filter(parts, lambda p: ~p.startswith("("))
+    name = F.array_join(F.transform(words, lambda p: F.when(p.startswith('"'), inside(p)).otherwise(p)), " ")
+    comments = F.array_join(F.transform(F.filter(parts, lambda p: p.startswith("(")), inside), " ")
+    return F.when(comments == "", name).otherwise(F.concat(name, F.lit(" ("), comments, F.lit(")")))
 
 
 def sender_name(sender: Column) -> Column:
-    named = F.concat(F.regexp_extract(sender, _NAMED, 1), F.regexp_extract(sender, _NAMED, 2))
+    named = _display_name(F.regexp_extract(sender, _NAMED, 1))
     return F.when(sender.rlike(_NAMED), named).otherwise(F.regexp_extract(sender, _BARE, 2))
 
 
 def sender_address(sender: Column) -> Column:
-    named = F.regexp_extract(sender, _NAMED, 3)
+    named = F.regexp_extract(sender, _NAMED, 2)
     return F.when(named != "", named).otherwise(F.regexp_extract(sender, _BARE, 1))
 
 

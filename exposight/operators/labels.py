@@ -14,11 +14,9 @@ _SECTION_BREAK = chr(1)
 Keywords = dict[str, dict[str, list[str]]]
 
 
-def keywords_from(table: DataFrame, max_phrases: int = 100_000) -> Keywords:
-    """Keyword dictionary from a ``label, tier, phrase`` table of bounded size."""
-    rows = table.select("label", "tier", "phrase").orderBy("label", "tier", "phrase").limit(max_phrases + 1).collect()
-    if len(rows) > max_phrases:
-        raise ValueError(f"keyword table has more than {max_phrases} phrases")
+def keywords_from(table: DataFrame) -> Keywords:
+    """Keyword dictionary from a ``label, tier, phrase`` table; it becomes part of the plan, as the built-in one is."""
+    rows = table.select("label", "tier", "phrase").orderBy("label", "tier", "phrase").collect()
     keywords: Keywords = {}
     for r in rows:
         keywords.setdefault(r["label"], {"strong": [], "weak": []})[r["tier"]].append(r["phrase"])

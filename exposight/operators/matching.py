@@ -11,14 +11,13 @@ Texts and terms meet in equi-joins, never pair by pair:
    many terms (a mail provider, a family name) costs no more than its places.
 3. The characters at each place are looked up among the terms by equality.
 
-The result is exactly "text contains term". Only terms are broadcast, in slices
-of a measured size, so texts are not shuffled; what is shuffled are distinct
-(page, term) hits.
+The result is exactly "text contains term", in one pass over the texts at any
+number of terms: the optimizer broadcasts the terms' places while they are small
+and shuffles both sides by key beyond that, splitting keys that many texts hold.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 from exposight.functions import fixed_values as fv
 from exposight.functions import people
 from exposight.functions.text import digits_only, phone_token_digits
-from exposight.session import BROADCAST_LIMIT_BYTES, materialise
+from exposight.session import materialise
 
 # Terms of at least this length share one stride and key length, set by the shortest
 # of them; each shorter length is a group of its own, keyed whole at every position.
@@ -38,9 +37,6 @@ WIDEST_STRIDE = 8
 # reaching into a piece cheap and bound what one huge page puts into one row.
 PIECE_CHARS = 64
 
-# Rough size of one broadcast row beside its strings.
-_KEY_ROW_BYTES = 96
-
 
 def identity_terms(subjects: DataFrame) -> DataFrame:
     """One row per subject and term: ``subject_id, entity_type, entity_value, confidence``."""
@@ -124,83 +120,80 @@ def _text_keys(pages: DataFrame, page_id: str, text: Column, groups: list[_Group
     )
 
 
-def needle_hits(
-    pages: DataFrame,
-    needles: DataFrame,
-    page_id: str = "page_id",
-    text: str = "extracted_text",
-    phone_mode: str = "page_digits",
-    limit_bytes: int = BROADCAST_LIMIT_BYTES,
-) -> DataFrame:
-    """Distinct ``(page_id, in_digits, needle)`` with the needle contained in the page."""
-    if phone_mode not in ("page_digits", "token"):
-        raise ValueError(f"unknown phone mode: {phone_mode}")
-    grouped = needles.select("in_digits", "needle").distinct().withColumn("group", _group_of(F.col("needle")))
+@dataclass(frozen=True)
+class PreparedTerms:
+    """Terms as written tables: all of them, their distinct needles, and the places around their keys, by haystack."""
+
+    terms: DataFrame
+    needles: DataFrame
+    groups: dict[bool, list[_Group]]
+    places: dict[bool, DataFrame]
+
+
+def prepare(terms: DataFrame) -> PreparedTerms:
+    """Written once, for one pass over texts or for many batches of them."""
+    columns = ["subject_id", "entity_type", "entity_value", "confidence"]
+    terms = materialise(_with_needles(terms.select(columns).distinct()), "identity-terms")
+    grouped = terms.select("in_digits", "needle").distinct().withColumn("group", _group_of(F.col("needle")))
+    grouped = materialise(grouped, "needles")
     sizes = (
         grouped.groupBy("in_digits", "group")
-        .agg(
-            F.count("*").alias("n"),
-            F.min(F.length("needle")).alias("shortest"),
-            F.max(F.length("needle")).alias("longest"),
-            F.sum(F.octet_length("needle")).alias("bytes"),
-        )
+        .agg(F.min(F.length("needle")).alias("shortest"), F.max(F.length("needle")).alias("longest"))
         .orderBy("in_digits", "group")
         .collect()  # at most two rows per group
     )
+    groups: dict[bool, list[_Group]] = {}
+    for r in sizes:
+        groups.setdefault(r["in_digits"], []).append(_Group(r["group"], r["shortest"], r["longest"]))
+    places = {
+        in_digits: materialise(_places(grouped.where(F.col("in_digits") == in_digits), own), "term-places")
+        for in_digits, own in groups.items()
+    }
+    return PreparedTerms(terms, grouped, groups, places)
+
+
+def needle_hits(
+    pages: DataFrame, prepared: PreparedTerms, page_id: str = "page_id", text: str = "extracted_text", phone_mode: str = "page_digits"
+) -> DataFrame:
+    """Distinct ``(page_id, in_digits, needle)`` with the needle contained in the page."""
+    if phone_mode not in ("page_digits", "token"):
+        raise ValueError(f"unknown phone mode: {phone_mode}")
     haystack = {
         False: F.lower(F.col(text)),
         True: digits_only(F.col(text)) if phone_mode == "page_digits" else phone_token_digits(F.col(text)),
     }
-    total = sum((r["bytes"] + r["n"] * _KEY_ROW_BYTES) * (WIDEST_STRIDE + 1) for r in sizes)
-    n_slices = max(1, math.ceil(total / limit_bytes))
-
-    found = None
-    for in_digits in (False, True):
-        groups = [_Group(r["group"], r["shortest"], r["longest"]) for r in sizes if r["in_digits"] == in_digits]
-        if not groups:
-            continue
-        text_keys = _text_keys(pages, page_id, haystack[in_digits], groups)
-        for number in range(n_slices):
-            part = grouped.where(F.col("in_digits") == in_digits).select("needle", "group")
-            if n_slices > 1:
-                # More terms than may be broadcast: another pass over the texts per slice,
-                # which moves less than shuffling every key of every text.
-                part = part.where(F.pmod(F.xxhash64("needle"), F.lit(n_slices)) == number)
-            starts_at = F.col("at") - F.col("shift")
-            candidates = (
-                text_keys.join(F.broadcast(_places(part, groups)), ["group", "key"])
-                .where(starts_at >= 1)
-                .select("page_id", F.substring("piece", starts_at, F.col("place_length")).alias("needle"))
-            )
-            hits = candidates.join(F.broadcast(part.select("needle")), "needle").select(
-                "page_id", F.lit(in_digits).alias("in_digits"), "needle"
-            )
-            found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        return pages.select(F.col(page_id).alias("page_id")).limit(0).select(
-            "page_id", F.lit(False).alias("in_digits"), F.lit("").alias("needle")
+    found = pages.select(F.col(page_id).alias("page_id"), F.lit(False).alias("in_digits"), F.lit("").alias("needle")).limit(0)
+    starts_at = F.col("at") - F.col("shift")
+    for in_digits, groups in prepared.groups.items():
+        needles = prepared.needles.where(F.col("in_digits") == in_digits).select("needle")
+        candidates = (
+            _text_keys(pages, page_id, haystack[in_digits], groups)
+            .join(prepared.places[in_digits], ["group", "key"])
+            .where(starts_at >= 1)
+            .select("page_id", F.substring("piece", starts_at, F.col("place_length")).alias("needle"))
         )
+        hits = candidates.join(needles, "needle", "left_semi")
+        found = found.unionByName(hits.select("page_id", F.lit(in_digits).alias("in_digits"), "needle"))
     return found.distinct()
 
 
 def findings(
     pages: DataFrame,
-    terms: DataFrame,
+    terms: DataFrame | PreparedTerms,
     page_id: str = "page_id",
     text: str = "extracted_text",
     phone_mode: str = "page_digits",
-    limit_bytes: int = BROADCAST_LIMIT_BYTES,
 ) -> DataFrame:
     """``subject_id, page_id, entity_type, entity_value, confidence``, each once.
 
     Null text has no findings. A term shared by many subjects is searched once
-    and spread to its subjects only after its hits are distinct.
+    and spread to its subjects only after its hits are distinct and written, so
+    that the join may be split at a term that many pages hold.
     """
+    prepared = terms if isinstance(terms, PreparedTerms) else prepare(terms)
+    hits = materialise(needle_hits(pages, prepared, page_id, text, phone_mode), "needle-hits")
     columns = ["subject_id", "entity_type", "entity_value", "confidence"]
-    # Written once: the terms are measured, sliced and joined several times below.
-    terms = materialise(_with_needles(terms.select(columns).distinct()), "identity-terms")
-    hits = needle_hits(pages, terms, page_id, text, phone_mode, limit_bytes)
-    return hits.join(terms, ["in_digits", "needle"]).select("page_id", *columns)
+    return hits.join(prepared.terms, ["in_digits", "needle"]).select("page_id", *columns)
 
 
 def risk_points(entity_type: Column, points: dict[str, int] = fv.RISK_POINTS) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from exposight.functions import fixed_values as fv
-from exposight.session import materialise, small_enough
+from exposight.session import materialise
 
 _BUCKET_DIGITS = 4  # hexadecimal digits of the draw: 65,536 buckets per class
 
@@ -56,9 +56,9 @@ def stratified_split(
         .where((F.col("_before") < F.col("n_test")) & (F.col("_before") + F.col("n") >= F.col("n_test")))
         .select(F.col("label").alias(label), F.col("_bucket").alias("_cut"), (F.col("n_test") - F.col("_before")).alias("_open"))
     )
-    # One row per class; a label column with very many classes is joined by shuffle.
+    # One row per class, written so that its size is known when the join is planned.
     cuts = materialise(cuts, "split-cuts")
-    placed = drawn.join(F.broadcast(cuts) if small_enough(cuts) else cuts, label, "left")
+    placed = drawn.join(cuts, label, "left")
     at_cut = F.col("_bucket") == F.col("_cut")
     inside = placed.where(at_cut)
     rank = F.row_number().over(Window.partitionBy(label).orderBy("_draw", key))

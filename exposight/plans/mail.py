@@ -70,7 +70,10 @@ def keep_first_mail(mails: DataFrame, order: list[str] | None = None) -> DataFra
 
 
 def training_rows(mails: DataFrame, keywords: Keywords = fv.KEYWORDS) -> DataFrame:
-    """Mailbox rows to labelled training rows (``ordinal`` orders the mailbox)."""
+    """Mailbox rows to labelled training rows. ``ordinal`` orders the mailbox; rows of the mailbox scan are in the
+    order of their files, blocks and places."""
+    if "ordinal" not in mails.columns:
+        mails = mails.withColumn("ordinal", F.struct("mail_file", "mail_block", "mail_seq"))
     distinct = keep_first_mail(prepare_training(mails))
     cleaned = split_sender(clean_text(distinct))
     return with_labels(cleaned, keywords=keywords).select("ordinal", *TRAINING_COLUMNS)

@@ -77,8 +77,16 @@ class MailClassifier:
     machines: list[LinearSVCModel]
 
     @classmethod
-    def fit(cls, train: DataFrame, text: str = "email_text", label: str = "training_label", max_iter: int = 50) -> "MailClassifier":
-        """Rows of class c weigh ``n / (k * n_c)`` in the machine that separates c from the rest."""
+    def fit(
+        cls, train: DataFrame, text: str = "email_text", label: str = "training_label",
+        penalty: float = fv.SVM_PENALTY, max_iter: int = fv.SVM_ITERATIONS,
+    ) -> "MailClassifier":
+        """Rows of class c weigh ``n / (k * n_c)`` in the machine that separates c from the rest.
+
+        ``penalty`` is the factor C of the summed loss; the fitted objective averages the loss over the rows'
+        weights, so its regularisation is one over C times their sum.
+        """
+        sizes = {r["label"]: r["n"] for r in train.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n")).collect()}
         weights = {r["label"]: r["weight"] for r in evaluation.class_weights(train, label).collect()}
         labels = sorted(weights)
         text_model = features.tfidf_model(train, text)
@@ -87,6 +95,7 @@ class MailClassifier:
         machines = []
         for name in labels:
             own = F.col(label) == name
+            total = sizes[name] * weights[name] + sum(n for other, n in sizes.items() if other != name)
             rows = vectors.select(
                 "features",
                 own.cast("double").alias("target"),
@@ -94,7 +103,7 @@ class MailClassifier:
             )
             svc = LinearSVC(
                 featuresCol="features", labelCol="target", weightCol="weight", maxIter=max_iter,
-                regParam=1e-4, tol=1e-4, standardization=False,
+                regParam=1 / (penalty * total), tol=1e-4, standardization=False,
             )
             machines.append(svc.fit(rows))
         return cls(labels, text_model, machines)
@@ -140,7 +149,7 @@ def with_email_text(rows: DataFrame) -> DataFrame:
 
 
 def training_loop(
-    stored: DataFrame, seed: int = fv.SPLIT_SEED, max_iter: int = 50
+    stored: DataFrame, seed: int = fv.SPLIT_SEED, max_iter: int = fv.SVM_ITERATIONS
 ) -> tuple[MailClassifier, DataFrame, DataFrame, DataFrame]:
     """Read, split, fit, predict held-out rows: model, predictions, report, mistakes."""
     rows = with_email_text(training_set(stored)).select("id", "sender_email_domain", "email_text", "training_label")

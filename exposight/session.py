@@ -1,4 +1,4 @@
-"""Session helpers: settings for tests and bench, the shared work folder, size checks."""
+"""Session helpers: settings for tests and bench, the shared work folder."""
 
 from __future__ import annotations
 
@@ -6,11 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# A side is broadcast only below this many bytes, measured before the join is planned.
-BROADCAST_LIMIT_BYTES = 256 * 1024 * 1024
-
 
 def local_session(cores: str = "8", app: str = "exposight", shuffle_partitions: int = 8) -> SparkSession:
     """A local session as tests and bench use it. On a cluster the caller brings the session."""
@@ -48,27 +43,3 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     path = work_folder(spark, purpose)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, few: int = 32) -> DataFrame:
-    """Give a plain scan at least one partition per core.
-
-    Scans of real size have far more partitions than cores and come back
-    unchanged. A scan of a few splits may be one row group, which a single task
-    would read whatever the number of splits.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < max(cores, few) else df
-
-
-def small_enough(df: DataFrame, limit_bytes: int = BROADCAST_LIMIT_BYTES, row_overhead: int = 64) -> bool:
-    """Measure ``df`` (one aggregate row comes back) and compare it with the limit."""
-    widths = [
-        F.coalesce(F.octet_length(F.col(f"`{f.name}`").cast("string")), F.lit(0))
-        for f in df.schema.fields
-    ]
-    width = widths[0] + row_overhead
-    for w in widths[1:]:
-        width = width + w
-    size = df.agg(F.coalesce(F.sum(width.cast("bigint")), F.lit(0))).first()[0]
-    return size <= limit_bytes

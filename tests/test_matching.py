@@ -47,12 +47,18 @@ def random_case(seed):
     return pages, terms + terms[:5]
 
 
-@pytest.mark.parametrize("seed, limit", [(1, None), (2, None), (3, 6000)])
-def test_equals_brute_force(spark, seed, limit):
+@pytest.mark.parametrize("seed, broadcast", [(1, True), (2, True), (3, False)])
+def test_equals_brute_force(spark, seed, broadcast):
     pages, terms = random_case(seed)
-    options = {"limit_bytes": limit} if limit else {}
-    got = matching.findings(spark.createDataFrame(pages, PAGES), spark.createDataFrame(terms, TERMS), **options)
-    assert as_set(got) == brute(pages, terms)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    if not broadcast:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = matching.findings(spark.createDataFrame(pages, PAGES), spark.createDataFrame(terms, TERMS))
+        found = as_set(got)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found == brute(pages, terms)
 
 
 def test_long_terms_only_use_wide_strides(spark):
@@ -95,10 +101,10 @@ def test_risk_and_analysis(spark):
     assert got == {(1, 1, 5, 65), (2, None, 0, 0), (4, None, 0, 0)}
 
 
-def test_texts_are_never_shuffled(spark):
+def test_texts_stay_in_place_while_terms_are_small(spark):
     pages, terms = random_case(4)
     plan = matching.needle_hits(
-        spark.createDataFrame(pages, PAGES), matching._with_needles(spark.createDataFrame(terms, TERMS))
+        spark.createDataFrame(pages, PAGES), matching.prepare(spark.createDataFrame(terms, TERMS))
     )._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]

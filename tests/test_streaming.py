@@ -35,17 +35,22 @@ def test_analyse_stream_equals_batch_and_is_idempotent(spark, tmp_path):
 
 
 def test_new_urls_once_over_runs(spark, tmp_path):
-    landing, out = str(tmp_path / "in"), str(tmp_path / "out")
-    hits = spark.createDataFrame([("http://h.example.com/a?x",), ("http://h.example.com/a#y",), ("",), (None,), ("http://h.example.com/b",)], "href string")
-
-    def run():
-        stream = streams.landed_pages(spark, landing, "href string", files_per_batch=1)
-        streams.write_new_urls(stream, out, str(tmp_path / "checkpoint")).awaitTermination()
-        return sorted(r["url"] for r in spark.read.schema("url string").parquet(out).collect())
-
-    hits.coalesce(1).write.parquet(landing)
-    first = run()
-    batch = hits.where("coalesce(href, '') <> ''").select(urls.canonical(F.col("href")).alias("url")).distinct()
-    assert first == sorted(r["url"] for r in batch.collect())
-    hits.coalesce(1).write.mode("append").parquet(landing)
-    assert run() == first
+    rows = [(1, "http://h.example.com/a?x"), (1, "http://h.example.com/a#y"), (2, "http://h.example.com/a"), (1, ""), (1, None), (1, "http://h.example.com/b")]
+    schema = "subject_id bigint, href string, seen timestamp"
+    hits = spark.createDataFrame(rows, "subject_id bigint, href string").withColumn("seen", F.lit("2024-01-01").cast("timestamp"))
+    batch = hits.where("coalesce(href, '') <> ''").select("subject_id", urls.canonical(F.col("href")).alias("url")).distinct()
+    want = sorted(map(tuple, batch.collect()))
+    for name, options in (("plain", {}), ("watermark", {"event_time": "seen", "keep_for": "1 hour"})):
+        landing, out = str(tmp_path / name / "in"), str(tmp_path / name / "out")
+
+        def run():
+            stream = streams.landed_pages(spark, landing, schema, files_per_batch=1)
+            streams.write_new_urls(stream, out, str(tmp_path / name / "checkpoint"), **options).awaitTermination()
+            found = spark.read.parquet(out)
+            assert set(found.columns) == {"subject_id", "href", "seen", "url"}
+            return sorted((r["subject_id"], r["url"]) for r in found.collect())
+
+        hits.coalesce(1).write.parquet(landing)
+        assert run() == want
+        hits.coalesce(1).write.mode("append").parquet(landing)
+        assert run() == want

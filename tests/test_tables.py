@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from exposight import schemas
 from exposight.operators import rows
 from exposight.plans import crawl, discovery, review
-from exposight.session import small_enough, work_folder
+from exposight.session import work_folder
 from exposight.sources import landed, sinks
 
 
@@ -125,7 +125,12 @@ def test_review(spark):
     assert after == {1: "verified", 2: "ignored", 3: "pending", 4: "pending", 5: "pending"}
 
 
-def test_sizes_and_work_folder(spark):
-    df = spark.range(1000)
-    assert small_enough(df) and not small_enough(df, limit_bytes=1000)
+def test_work_folder(spark):
     assert work_folder(spark, "a") != work_folder(spark, "a")
+
+
+def test_append_adds_rows(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for start in (0, 3):
+        sinks.append(spark.range(start, start + 3), path)
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == list(range(6))
