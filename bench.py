@@ -1,6 +1,6 @@
 """Headline queries, timed. Prints one JSON line.
 
-``BENCH_SF_DIR`` (default sf0.1), ``BENCH_CPUS`` (default 4), ``BENCH_RUNS`` (warm runs, default 3).
+``BENCH_SF_DIR`` (default sf0.1), ``BENCH_CPUS`` (default 8), ``BENCH_RUNS`` (warm runs, default 3).
 Each query runs once cold, then the median of the warm runs counts; results go to the noop sink.
 """
 
@@ -25,6 +25,8 @@ HEADLINE = [
     "tfidf",
     "classification_report",
     "stratified_split",
+    "search_queries",
+    "stream_analyse",
 ]
 
 
@@ -38,7 +40,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     names = sys.argv[1:] or HEADLINE
-    spark = local_session(cores=os.environ.get("BENCH_CPUS", "4"), app="bench")
+    spark = local_session(cores=os.environ.get("BENCH_CPUS", "8"), app="bench")
     spark.sparkContext.setLogLevel("ERROR")
     seconds, cold = {}, {}
     for name in names:
