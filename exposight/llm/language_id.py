@@ -6,7 +6,7 @@ weights are trained together by stochastic gradient descent on the cross-entropy
 labelled documents per language; the rows are chosen by a hash of their id, and features are counted in tasks, so
 the driver holds at most 2^BUCKET_BITS counts for each. A quarter of the sample is kept from training: it sets the
 temperature of the softmax (calibration) and the score below which a text is rejected, the smallest one at which the
-accepted rest is wrong in at most ``MAX_ERROR`` of cases, and at least ``LEAST_SCORE``.
+accepted rest is wrong in at most ``MAX_ERROR`` of cases, and at least a little above chance (``ABOVE_CHANCE``).
 
 Prediction sees the whole text and nothing else. As the model is linear after the mean, bucket vectors are
 multiplied by the weights once, and a text costs one table lookup per n-gram.
@@ -34,7 +34,7 @@ DIMENSIONS = 16
 STEPS, BATCH, RATE = 800, 16, 2.0
 LENGTHS = (2, 3)
 MAX_ERROR = 0.01
-LEAST_SCORE = 0.5
+ABOVE_CHANCE = 1.25  # a best language less likely than this times 1 / languages is no answer
 UNKNOWN = "und"
 CHARS_AT_ONCE = 1 << 20
 
@@ -90,7 +90,7 @@ class Model:
     table: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
-    threshold: float = LEAST_SCORE
+    threshold: float = 0.0
 
     def logits(self, text: str | None) -> np.ndarray | None:
         total, n = np.zeros(len(self.languages)), 0
@@ -200,7 +200,7 @@ def calibrate(model: Model, held: list) -> Model:
     accepted = score[order[fine[-1]]] if len(fine) else 1.0
     if len(fine) == len(order) or (len(fine) and fine[-1] == len(order) - 1):
         accepted = 0.0  # no held-out row has to be rejected
-    model.threshold = float(max(LEAST_SCORE, accepted))
+    model.threshold = float(max(min(0.5, ABOVE_CHANCE / len(model.languages)), accepted))
     return model
 
 
