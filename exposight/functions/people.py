@@ -117,6 +117,28 @@ def queries_of() -> Column:
     return F.array_distinct(families)
 
 
+def _mentions_name(lowered: Column, first: Column, middles: Column, last: Column) -> Column:
+    """Does the text hold first and last name around any ordered subset of the middle names?
+
+    One pattern in which every middle name may be missing stands for all the
+    subsets. Without first and last name any middle name will do.
+    """
+
+    def plain(value: Column) -> Column:
+        return F.regexp_replace(F.lower(value), r"([\\^$.|?*+()\[\]{}])", r"\\$1")
+
+    def optional(before: str, after: str) -> Column:
+        parts = F.filter(middles, lambda m: m.isNotNull())
+        return F.array_join(F.transform(parts, lambda m: F.concat(F.lit(f"(?:{before}"), plain(m), F.lit(f"{after})?"))), "")
+
+    with_last = F.concat(F.coalesce(F.concat(plain(first), F.lit(" ")), F.lit("")), optional("", " "), plain(last))
+    pattern = F.coalesce(with_last, F.concat(plain(first), optional(" ", "")))
+    any_middle = F.exists(_usable(middles), lambda m: F.contains(lowered, F.lower(m)))
+    return F.when(F.concat(F.coalesce(first, F.lit("")), F.coalesce(last, F.lit(""))) == "", any_middle).otherwise(
+        F.rlike(lowered, pattern)
+    )
+
+
 def query_confidence(query: Column) -> Column:
     """How surely ``query`` is about the subject of the row; the first rule that fits wins."""
     c = F.col
@@ -125,13 +147,13 @@ def query_confidence(query: Column) -> Column:
     def mentions(values: Column) -> Column:
         return F.exists(_usable(values), lambda v: F.contains(lowered, F.lower(v)))
 
-    names = search_names(c("first_name"), c("middle_names"), c("last_name"))
+    named = _mentions_name(lowered, c("first_name"), c("middle_names"), c("last_name"))
     conf = fv.QUERY_CONFIDENCE
     return (
         F.when(mentions(F.array(c("email"))), conf["email"])
         .when(mentions(c("numbers")), conf["phone"])
         .when(mentions(c("usernames")), conf["username"])
-        .when(mentions(names) & mentions(c("locations")), conf["name_and_location"])
-        .when(mentions(names), conf["name"])
+        .when(named & mentions(c("locations")), conf["name_and_location"])
+        .when(named, conf["name"])
         .otherwise(0.0)
     )

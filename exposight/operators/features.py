@@ -1,27 +1,23 @@
 """Words to features: vocabulary, TF-IDF, fixed-length id sequences.
 
 The vocabulary is the only thing gathered over the corpus; it is bounded by its
-size (10,000 terms) and may therefore sit in every task. Weighting and encoding
-are then row by row, without a shuffle.
+size (10,000 terms). Weights and ids meet the words of the texts by joins; only
+the transformer of the classifier holds the vocabulary itself.
 """
 
 from __future__ import annotations
 
-import json
 import math
-import zlib
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, SQLTransformer
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from exposight.functions import fixed_values as fv
 from exposight.functions.text import words
 
-_LOOKUP_BUCKETS = 1024
-
 
 def word_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``key, word, n`` per text."""
@@ -30,7 +26,7 @@ def word_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def vocabulary(docs: DataFrame, text: str, size: int = fv.VOCABULARY_SIZE) -> DataFrame:
-    """``word, n_total, n_docs``: the most frequent words (ties by word).
+    """``word, n_total, n_docs, place``: the most frequent words (ties by word), ``place`` from 1.
 
     Each word of a text is sent as one row, flagged at its first use in the text,
     and summed on the map side, so totals and document counts come from one pass.
@@ -45,7 +41,10 @@ def vocabulary(docs: DataFrame, text: str, size: int = fv.VOCABULARY_SIZE) -> Da
         .groupBy("word")
         .agg(F.sum("uses").alias("n_total"), F.sum("docs").alias("n_docs"))
     )
-    return counted.orderBy(F.desc("n_total"), F.asc("word")).limit(size)
+    by_use = [F.desc("n_total"), F.asc("word")]
+    chosen = counted.orderBy(*by_use).limit(size)
+    # One window over ``size`` rows at most.
+    return chosen.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*by_use)))
 
 
 def tfidf_model(docs: DataFrame, text: str, size: int = fv.VOCABULARY_SIZE) -> PipelineModel:
@@ -66,50 +65,44 @@ def tfidf_model(docs: DataFrame, text: str, size: int = fv.VOCABULARY_SIZE) -> P
     return PipelineModel([tokenise, counter, scale, unit])
 
 
-def vector_entries(df: DataFrame, key: str, vector: str = "features") -> DataFrame:
-    """``key, position, weight`` of the non-zero entries of a sparse vector column."""
-    shape = "v struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
-    plain = F.from_json(F.to_json(F.struct(F.col(vector).alias("v"))), shape)["v"]
-    pairs = F.arrays_zip(plain["indices"].alias("position"), plain["values"].alias("weight"))
-    return df.select(key, F.explode(pairs).alias("e")).select(
-        key, "e.position", "e.weight"
-    )
-
-
 def tfidf(docs: DataFrame, key: str, text: str, size: int = fv.VOCABULARY_SIZE) -> DataFrame:
-    """``key, word, weight`` for every vocabulary word of every text."""
-    model = tfidf_model(docs, text, size)
-    names = F.lit(json.dumps(model.stages[1].vocabulary))
-    entries = vector_entries(model.transform(docs.select(key, text)), key)
-    return entries.select(key, F.get(F.from_json(names, "array<string>"), F.col("position")).alias("word"), "weight")
-
+    """``key, word, weight`` for every vocabulary word of every text; keys are unique.
 
-def _id_lookup(terms: list[str], first_id: int) -> Column:
-    """Literal lookup table: words spread over small maps, so a lookup reads a few entries."""
-    buckets: list[dict[str, int]] = [{} for _ in range(_LOOKUP_BUCKETS)]
-    for position, term in enumerate(terms):
-        buckets[zlib.crc32(term.encode()) % _LOOKUP_BUCKETS][term] = position + first_id
-    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
+    Texts are dealt by their key once; counting words and the length of a text's vector then need no other shuffle.
+    """
+    chosen = vocabulary(docs, text, size)
+    n_docs = docs.count()  # reads no column
+    rarity = F.log((1 + n_docs) / (1 + F.col("n_docs")).cast("double")) + 1
+    dealt = docs.select(key, text).repartition(key)
+    weighted = (
+        word_counts(dealt, key, text)
+        .join(chosen.select("word", rarity.alias("_rarity")), "word")
+        .select(key, "word", (F.col("n") * F.col("_rarity")).alias("_x"))
+    )
+    # A window holds the vocabulary words of one text, so no more than ``size`` rows.
+    length = F.sqrt(F.sum(F.col("_x") * F.col("_x")).over(Window.partitionBy(key)))
+    return weighted.select(key, "word", (F.col("_x") / length).alias("weight"))
 
 
 def encode_fixed(
     docs: DataFrame, key: str, text: str, vocab: DataFrame, length: int = fv.SEQUENCE_LENGTH
 ) -> DataFrame:
-    """``key, input_ids, attention_mask``: word ids cut or padded to ``length``.
+    """``key, input_ids, attention_mask``: word ids cut or padded to ``length``; keys are unique.
 
     Id 0 is padding, 1 an unknown word, 2 the vocabulary's most frequent word.
+    The first ``length`` words of a text meet the vocabulary by a join; they are gathered again per text.
     """
-    chosen = vocab.select("word", "n_total").orderBy(F.desc("n_total"), "word").collect()
-    table = _id_lookup([r["word"] for r in chosen], first_id=2)
-
-    def word_id(word: Column) -> Column:
-        bucket = F.get(table, F.pmod(F.crc32(word), F.lit(_LOOKUP_BUCKETS)).cast("int"))
-        return F.coalesce(F.try_element_at(bucket, word), F.lit(1))
-
+    numbered = vocab.select("word", (F.col("place") + 1).cast("int").alias("_id"))
     cut = docs.select(key, F.slice(words(F.col(text)), 1, length).alias("_tokens"))
-    n_pad = F.lit(length) - F.size("_tokens")
-    padding = F.array_repeat(F.lit(0), n_pad)
-    mask = F.concat(F.array_repeat(F.lit(1), F.size("_tokens")), padding)
-    return cut.select(
-        key, F.concat(F.transform("_tokens", word_id), padding).alias("input_ids"), mask.alias("attention_mask")
+    placed = cut.select(key, F.posexplode_outer("_tokens").alias("_pos", "word"))
+    known = placed.join(numbered, "word", "left")
+    # A text without words has one row, without a place.
+    found = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("_id", F.lit(1)).alias("_id")))
+    ids = known.groupBy(key).agg(F.array_sort(F.collect_list(found)).alias("_found"))
+    n_real = F.size("_found")
+    padding = F.array_repeat(F.lit(0), F.lit(length) - n_real)
+    return ids.select(
+        key,
+        F.concat(F.transform("_found", lambda x: x["_id"]), padding).alias("input_ids"),
+        F.concat(F.array_repeat(F.lit(1), n_real), padding).alias("attention_mask"),
     )

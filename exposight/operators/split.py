@@ -32,38 +32,40 @@ def class_quotas(counts: DataFrame, share: tuple[int, int] = fv.HELD_OUT_SHARE)
     return quota.select("label", "n", (F.col("n") - n_in_train).alias("n_test"))
 
 
+def _cuts(draws: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """``label, cut``: per class the last (draw, key) that is held out; no row for a class that holds out none.
+
+    A histogram over the leading digits of the draw shows in which bucket a
+    class's quota ends; only the rows inside it, 1 in 65,536, are ranked.
+    """
+    histogram = draws.groupBy("label", "bucket").agg(F.count("*").alias("n"))
+    quotas = class_quotas(histogram.groupBy("label").agg(F.sum("n").alias("n")), share)
+    before = F.sum("n").over(Window.partitionBy("label").orderBy("bucket")) - F.col("n")
+    # Bounded by classes x 65,536 rows; one bucket per class comes out.
+    ends = (
+        histogram.withColumn("before", before)
+        .join(quotas.select("label", "n_test"), "label")
+        .where((F.col("before") < F.col("n_test")) & (F.col("before") + F.col("n") >= F.col("n_test")))
+        .select("label", "bucket", (F.col("n_test") - F.col("before")).alias("open"))
+    )
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("place"))
+    inside = draws.join(ends, ["label", "bucket"]).withColumn("rank", rank)
+    return inside.where(F.col("rank") == F.col("open")).select("label", F.col("place").alias("cut"))
+
+
 def stratified_split(
     df: DataFrame, key: str, label: str, seed: int = fv.SPLIT_SEED, share: tuple[int, int] = fv.HELD_OUT_SHARE
 ) -> DataFrame:
     """Add ``is_test``. Each class holds out its quota of rows with the smallest ``md5(key || seed)``.
 
-    A histogram over the leading digits of the draw shows in which bucket a
-    class's quota ends. Rows before that bucket are held out, rows after it are
-    not; only the rows inside it, 1 in 65,536, are ranked.
+    Keys are unique. The cuts are found from keys and labels alone and written;
+    whole rows are then compared with them, without a shuffle.
     """
     draw = F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed))))
-    drawn = df.withColumn("_draw", draw).withColumn(
-        "_bucket", F.conv(F.left("_draw", F.lit(_BUCKET_DIGITS)), 16, 10).cast("int")
-    )
-    histogram = drawn.groupBy(F.col(label).alias("label"), "_bucket").agg(F.count("*").alias("n"))
-    quotas = class_quotas(histogram.groupBy("label").agg(F.sum("n").alias("n")), share)
-    in_order = Window.partitionBy("label").orderBy("_bucket")
-    before = F.sum("n").over(in_order) - F.col("n")
-    # Bounded by classes x 65,536 rows; one cut per class comes out.
-    cuts = (
-        histogram.withColumn("_before", before)
-        .join(quotas.select("label", "n_test"), "label")
-        .where((F.col("_before") < F.col("n_test")) & (F.col("_before") + F.col("n") >= F.col("n_test")))
-        .select(F.col("label").alias(label), F.col("_bucket").alias("_cut"), (F.col("n_test") - F.col("_before")).alias("_open"))
-    )
+    place = F.struct(draw.alias("draw"), F.col(key).alias("key"))
+    bucket = F.conv(F.left(draw, F.lit(_BUCKET_DIGITS)), 16, 10).cast("int")
+    draws = df.select(F.col(label).alias("label"), place.alias("place"), bucket.alias("bucket"))
     # One row per class, written so that its size is known when the join is planned.
-    cuts = materialise(cuts, "split-cuts")
-    placed = drawn.join(cuts, label, "left")
-    at_cut = F.col("_bucket") == F.col("_cut")
-    inside = placed.where(at_cut)
-    rank = F.row_number().over(Window.partitionBy(label).orderBy("_draw", key))
-    inside = inside.withColumn("is_test", rank <= F.col("_open"))
-    outside = placed.where(~at_cut | at_cut.isNull()).withColumn(
-        "is_test", F.coalesce(F.col("_bucket") < F.col("_cut"), F.lit(False))
-    )
-    return inside.unionByName(outside).drop("_draw", "_bucket", "_cut", "_open")
+    cuts = materialise(_cuts(draws, share), "split-cuts").select(F.col("label").alias(label), F.col("cut").alias("_cut"))
+    held_out = F.coalesce(place <= F.col("_cut"), F.lit(False))
+    return df.join(cuts, label, "left").withColumn("is_test", held_out).drop("_cut")

@@ -217,3 +217,21 @@ def test_display_columns(one):
         tx.or_unknown(F.col("n")), tx.preview(F.lit("x" * 2000)), tx.preview(F.col("n")),
     )
     assert row == ("email          a@b.example.com (1.00)", "a type longer than 15a@b.example.com (0.80)", "Unknown", "x" * 1000, "")
+
+
+def test_query_confidence_by_any_middle_names(spark):
+    names = "first_name string, middle_names array<string>, last_name string"
+    row = ["Ana", ["Max (jr.)", "Bea"], "Testwell"]
+    empty = F.array().cast("array<string>")
+    rest = {"email": F.lit(None).cast("string"), "usernames": empty, "locations": F.array(F.lit("Port 1")), "numbers": empty}
+    cases = {
+        '"ana testwell"': 0.2, '"Ana Max (jr.) Testwell" "port 1"': 0.6, '"Ana Max (Jr.) Bea Testwell"': 0.2,
+        '"Ana Bea Max (jr.) Testwell"': 0.0, '"Ana Max jr Testwell"': 0.0, '"Testwell Ana"': 0.0,
+    }
+    rate = lambda rows: [
+        tuple(r)[0] for r in
+        rows.withColumns(rest).select(F.array(*[people.query_confidence(F.lit(q)) for q in cases]).alias("c")).collect()
+    ]
+    assert rate(spark.createDataFrame([row], names)) == [list(cases.values())]
+    nameless = spark.createDataFrame([(None, ["Bea"], None), (None, [], None), (None, ["Bea"], "Testwell")], names)
+    assert rate(nameless) == [[0.0, 0.0, 0.2, 0.2, 0.0, 0.0], [0.0] * 6, [0.2, 0.6, 0.2, 0.2, 0.2, 0.2]]
