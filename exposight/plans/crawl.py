@@ -10,6 +10,7 @@ from exposight.functions import html as h
 from exposight.functions import text as tx
 from exposight.functions import urls
 from exposight.operators.rows import latest_per_key
+from exposight.sources.sinks import write_batch
 
 
 def crawl_status(http_status: Column, content_type: Column) -> Column:
@@ -97,19 +98,39 @@ def page_stats(parsed: DataFrame) -> DataFrame:
     return parsed.select("page_id", *[F.size(c).cast("bigint").alias(f"n_{c}") for c in lists])
 
 
-def ingest(candidates: DataFrame, fetches: DataFrame) -> dict[str, DataFrame]:
-    """Pending candidates met with the fetched feed.
+CHILD_TABLES = {
+    "page_emails": page_emails, "page_images": page_images, "page_links": page_links, "page_phones": page_phones,
+}
 
-    ``status`` has one row per fetched candidate; ``pages`` has the parsed page
-    of every success. A page yields all its rows or none.
-    """
+
+def pending_fetches(candidates: DataFrame, fetches: DataFrame) -> DataFrame:
+    """The fetched rows whose candidate is still pending."""
     pending = candidates.where(F.col("crawl_status") == "pending").select(F.col("id").alias("search_result_id"))
-    fetched = fetches.join(pending, "search_result_id").withColumn(
-        "crawl_status", crawl_status(F.col("http_status"), F.col("content_type"))
+    return fetches.join(pending, "search_result_id", "left_semi")
+
+
+def ingest(fetches: DataFrame, folder: str, batch: int | str, crawled_at: Column | None = None) -> DataFrame:
+    """Write one batch of fetched rows to the tables below ``folder``; gives the stored pages of the batch.
+
+    ``crawl_events`` gets one row per fetched row (``event_id, search_result_id, ts, crawl_status``; the id is the
+    place of the row, one row per candidate and batch), ``crawled_pages`` the parsed page of every success, the child
+    tables what the pages hold. Pages are parsed once: the child tables are read off the stored pages. A repeated
+    batch replaces its own rows.
+    """
+    crawled_at = F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss") if crawled_at is None else crawled_at
+    spark = fetches.sparkSession
+    judged = fetches.withColumn("crawl_status", crawl_status(F.col("http_status"), F.col("content_type")))
+    events = judged.select(
+        F.col("search_result_id").alias("event_id"), "search_result_id", crawled_at.alias("ts"), "crawl_status"
     )
-    good = fetched.where(F.col("crawl_status") == "success")
-    pages = parse_pages(good.withColumn("page_id", F.col("search_result_id")), base_url="final_url")
-    return {"status": fetched.select("search_result_id", "crawl_status"), "pages": pages}
+    write_batch(events, f"{folder}/crawl_events", batch)
+    good = judged.where(F.col("crawl_status") == "success").withColumn("page_id", F.col("search_result_id"))
+    parsed = parse_pages(good.drop("crawl_status"), base_url="final_url")
+    write_batch(parsed, f"{folder}/crawled_pages", batch)
+    stored = spark.read.schema(parsed.schema).parquet(f"{folder}/crawled_pages/batch={batch}")
+    for name, rows_of in CHILD_TABLES.items():
+        write_batch(rows_of(stored), f"{folder}/{name}", batch)
+    return stored
 
 
 def status_now(candidates: DataFrame, crawl_events: DataFrame) -> DataFrame:

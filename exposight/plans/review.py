@@ -25,6 +25,14 @@ def _mode(mode: str) -> Column:
     return modes[mode]
 
 
+def with_risk(pages: DataFrame, risks: DataFrame) -> DataFrame:
+    """Pages with the score of their analysis (``page_id, risk_score`` per page and subject): the highest of any
+    subject. A page that was not analysed keeps its score."""
+    highest = risks.groupBy(F.col("page_id").alias("id")).agg(F.max("risk_score").cast("double").alias("_risk"))
+    scored = pages.join(highest, "id", "left")
+    return scored.withColumn("risk_score", F.coalesce("_risk", "risk_score")).drop("_risk")
+
+
 def review_queue(pages: DataFrame, candidates: DataFrame, mode: str) -> DataFrame:
     """Pages of one queue with their address, most exposed first."""
     urls = candidates.select(F.col("id").alias("search_result_id"), "url")

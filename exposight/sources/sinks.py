@@ -12,8 +12,14 @@ def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> N
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def write_batch(df: DataFrame, path: str, batch: int | str) -> None:
+    """Write one batch of a table to its own ``batch=`` folder. A repeated batch replaces what it wrote before, so
+    nothing stored has to be read; the table is read with a column ``batch``."""
+    df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
 def append_new(df: DataFrame, path: str, keys: list[str]) -> None:
-    """Append the rows whose key the table does not hold; a re-run adds nothing."""
+    """Append the rows whose key the table does not hold; a re-run adds nothing. Reads the keys of the whole table."""
     spark = df.sparkSession
     try:
         stored = spark.read.schema(df.schema).parquet(path)

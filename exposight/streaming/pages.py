@@ -13,8 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from exposight.functions import urls
 from exposight.operators import matching
 from exposight.plans import crawl
-from exposight.session import materialise
-from exposight.sources.sinks import append_new
+from exposight.sources.sinks import write_batch
 
 
 def landed_pages(spark: SparkSession, folder: str, schema: str, files_per_batch: int | None = None) -> DataFrame:
@@ -24,25 +23,40 @@ def landed_pages(spark: SparkSession, folder: str, schema: str, files_per_batch:
     return reader.parquet(folder)
 
 
+def first_fetches(fetches: DataFrame, event_time: str | None = None, keep_for: str | None = None) -> DataFrame:
+    """The first fetched row of every candidate over all batches and runs.
+
+    The stream's own state remembers the candidates: all of them, or with ``event_time`` and ``keep_for`` those of
+    that time.
+    """
+    key = ["search_result_id"]
+    if event_time and keep_for:
+        return fetches.withWatermark(event_time, keep_for).dropDuplicatesWithinWatermark(key)
+    return fetches.dropDuplicates(key)
+
+
 def analyse_stream(
-    pages: DataFrame, terms: DataFrame, out_folder: str, checkpoint: str
+    fetches: DataFrame, terms: DataFrame, out_folder: str, checkpoint: str,
+    event_time: str | None = None, keep_for: str | None = None,
 ) -> StreamingQuery:
-    """Parse landed pages (``page_id, url, html``) and match them; write ``pages`` and ``findings``.
+    """Take in landed fetches and match their pages: the tables of ``crawl.ingest``, ``findings`` and ``page_risk``.
 
-    Both tables are keyed and appended by anti-join, so a replayed batch adds nothing.
+    Every batch writes folders of its own, so its cost does not grow with what is stored, and a replayed batch
+    replaces its rows.
     """
 
     prepared = matching.prepare(terms)  # once, not per batch
 
-    def handle(batch: DataFrame, _: int) -> None:
-        parsed = crawl.parse_pages(batch).select("page_id", "url", "page_title", "extracted_text")
-        parsed = materialise(parsed, "parsed-batch")
-        append_new(parsed, f"{out_folder}/pages", ["page_id"])
-        found = materialise(matching.findings(parsed, prepared), "findings-batch")
-        append_new(found, f"{out_folder}/findings", ["subject_id", "page_id", "entity_type", "entity_value"])
+    def handle(batch: DataFrame, number: int) -> None:
+        stored = crawl.ingest(batch, out_folder, number)
+        found = matching.findings(stored, prepared)
+        write_batch(found, f"{out_folder}/findings", number)
+        again = stored.sparkSession.read.schema(found.schema).parquet(f"{out_folder}/findings/batch={number}")
+        write_batch(matching.page_risk(stored, matching.risk_scores(again)), f"{out_folder}/page_risk", number)
 
     return (
-        pages.writeStream.foreachBatch(handle)
+        first_fetches(fetches, event_time, keep_for)
+        .writeStream.foreachBatch(handle)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -397,6 +397,10 @@ def _profile(columns: dict[str, str]) -> str:
 
 _FETCH_STATUS = """CASE WHEN http_status >= 400 THEN 'failed' WHEN NOT contains(lower(coalesce(content_type, '')), 'text/html') THEN 'unsupported' ELSE 'success' END"""
 
+_CRAWLED = f"""SELECT f.search_result_id, {_FETCH_STATUS} AS crawl_status FROM {{fetches}} f JOIN {{candidates}} k ON k.id = f.search_result_id
+WHERE k.crawl_status = 'pending'"""
+_CRAWLED_GOOD = f"SELECT search_result_id FROM ({_CRAWLED}) WHERE crawl_status = 'success'"
+
 _PREPARED_NULLS = {
     "sender_name": "''", "sender_email_username": "''", "sender_email_domain": "''", "original_sender_string": "sender",
     "subject": "subject", "body": "body", "date": "date", **{f"{x}_count": "0" for x in fv.LABELS}, "label": "'unlabelled'",
@@ -593,23 +597,35 @@ SELECT f.subject_id, 'duckduckgo' AS search_engine, f.search_query, r.query_conf
   coalesce(f.title, '') AS page_title, coalesce(f.body, '') AS snippet, f.result_rank, 'pending' AS crawl_status, 0 AS crawl_attempts
 FROM first_seen f JOIN rated r ON r.subject_id = f.subject_id AND r.search_query = f.search_query
 WHERE NOT EXISTS (SELECT 1 FROM {{known_urls}} k WHERE k.subject_id = f.subject_id AND k.url = f.url)"""
-    counted = ", ".join(
-        f"CASE WHEN s.crawl_status = 'success' THEN (SELECT count(*) FROM {cte} x WHERE x.page_id = c.page_id {cond}) END AS n_{name}"
-        for name, cte, cond in [
-            ("emails", "emails", ""), ("images", "images", ""), ("contact_links", "typed", "AND link_type = 'contact'"),
-            ("privacy_links", "typed", "AND link_type = 'privacy'"), ("social_links", "typed", "AND link_type = 'social'"),
-        ]
-    )
-    q["crawl_ingest"] = _pages(f"""SELECT s.search_result_id, s.crawl_status, CASE WHEN s.crawl_status = 'success' THEN m.page_title END AS page_title,
-  CASE WHEN s.crawl_status = 'success' THEN c.extracted_text END AS extracted_text, {counted}
-FROM (SELECT f.search_result_id, {_FETCH_STATUS} AS crawl_status FROM {{fetches}} f JOIN {{candidates}} k ON k.id = f.search_result_id WHERE k.crawl_status = 'pending') s
-JOIN cleared c ON c.page_id = s.search_result_id JOIN meta m ON m.page_id = s.search_result_id""")
+    q["crawl_ingest"] = _pages(f"""SELECT 'crawl_events' AS table_name, search_result_id AS page_id, crawl_status AS item, '2024-01-01 00:00:00' AS detail FROM ({_CRAWLED})
+UNION ALL SELECT 'crawled_pages', c.page_id, m.page_title, c.extracted_text FROM cleared c JOIN meta m ON m.page_id = c.page_id WHERE c.page_id IN ({_CRAWLED_GOOD})
+UNION ALL SELECT 'page_emails', page_id, email, NULL FROM emails WHERE page_id IN ({_CRAWLED_GOOD})
+UNION ALL SELECT 'page_images', page_id, image_url, NULL FROM images WHERE page_id IN ({_CRAWLED_GOOD})
+UNION ALL SELECT 'page_links', page_id, url, link_type FROM typed WHERE page_id IN ({_CRAWLED_GOOD})
+UNION ALL SELECT 'page_phones', page_id, phone_number, NULL FROM phones WHERE page_id IN ({_CRAWLED_GOOD})""")
+    q["review_after_analysis"] = f"""WITH {_FOUND},
+highest AS (SELECT page_id, max(risk_score) AS risk FROM scores GROUP BY page_id)
+SELECT p.id, p.page_title, CAST(coalesce(h.risk, 0) AS DOUBLE) AS risk_score, p.match_score, c.url
+FROM {{text_pages}} p JOIN {{text_candidates}} c ON c.id = p.search_result_id LEFT JOIN highest h ON h.page_id = p.id
+WHERE p.verification_status = 'pending' AND (coalesce(h.risk, 0) > 0 OR p.match_score > 0)"""
+    mailbox_bodies = rf"regexp_replace(body, '(^|\n)From ', '\1>From ', 'g') || {_NL}"
+    q["mbox_training_rows"] = f"""WITH kept AS (
+  SELECT min(id) AS ordinal, min(sender) AS sender, subject, raw_body FROM (SELECT id, sender, subject, {mailbox_bodies} AS raw_body FROM {{messages}}) GROUP BY subject, raw_body),
+cleaned AS (SELECT ordinal, sender, {_clean_subject('subject')} AS subject, {_clean_body('raw_body')} AS body FROM kept),
+{_labels("cleaned", "m.sender, m.subject, m.body, ")}
+SELECT split_part(sender, ' ', 1) AS sender_name, regexp_extract(sender, '<([^@]*)@', 1) AS sender_email_username, 'mail.example.com' AS sender_email_domain,
+  sender AS original_sender_string, subject, body, label FROM labelled"""
     q["stream_analyse"] = f"""WITH {_PAGES}, {_TERMS},
 needles AS (SELECT *, CASE WHEN entity_type = 'phone' THEN regexp_replace(entity_value, '[^0-9]', '', 'g') ELSE lower(entity_value) END AS needle FROM terms),
-n AS (SELECT c.page_id, k.subject_id, k.entity_type, k.entity_value FROM cleared c, needles k
-  WHERE CASE WHEN k.entity_type = 'phone' THEN contains(regexp_replace(c.extracted_text, '[^0-9]', '', 'g'), k.needle) ELSE contains(lower(c.extracted_text), k.needle) END)
-SELECT c.page_id, m.page_title, c.extracted_text, n.subject_id, n.entity_type, n.entity_value
-FROM cleared c JOIN meta m ON m.page_id = c.page_id LEFT JOIN n ON n.page_id = c.page_id"""
+n AS (SELECT c.page_id, k.subject_id, k.entity_type, k.entity_value,
+    sum(CASE k.entity_type WHEN 'email' THEN 25 WHEN 'phone' THEN 40 ELSE 0 END) OVER (PARTITION BY c.page_id, k.subject_id) AS points
+  FROM cleared c, needles k
+  WHERE CASE WHEN k.entity_type = 'phone' THEN contains(regexp_replace(c.extracted_text, '[^0-9]', '', 'g'), k.needle) ELSE contains(lower(c.extracted_text), k.needle) END),
+good AS (SELECT c.page_id, m.page_title, c.extracted_text FROM cleared c JOIN meta m ON m.page_id = c.page_id)
+SELECT s.search_result_id AS page_id, s.crawl_status, g.page_title, g.extracted_text, n.subject_id, n.entity_type, n.entity_value,
+  CASE WHEN s.crawl_status = 'success' THEN CAST(coalesce(n.points, 0) AS BIGINT) END AS risk_score
+FROM (SELECT search_result_id, {_FETCH_STATUS} AS crawl_status FROM {{fetches}}) s
+LEFT JOIN good g ON g.page_id = s.search_result_id AND s.crawl_status = 'success' LEFT JOIN n ON n.page_id = g.page_id"""
     undecided = ", ".join(map(_quote, fv.UNDECIDED_LABELS))
     q["svm_train_eval"] = f"""WITH m AS ({q['mail_training_rows']}),
 c AS (SELECT label, count(*) AS n FROM m WHERE label NOT IN ({undecided}) GROUP BY label),

@@ -64,13 +64,16 @@ def _message_text(body: Column) -> Column:
     return F.concat(*header, F.lit("\n\n"), body)
 
 
-@query
-def mail_scan(spark, d):
-    messages = spark_view(spark, d, "messages")
+def _mbox_records(spark: SparkSession, d: str) -> DataFrame:
     quoted = F.regexp_replace("body", r"(?m)^From ", ">From ")
     record = F.concat(F.lit("From box@mail.example.com Mon Jan  1 00:00:00 2024\n"), _message_text(quoted), F.lit("\n"))
+    return spark_view(spark, d, "messages").select(record.alias("value"))
+
+
+@query
+def mail_scan(spark, d):
     folder = work_folder(spark, "mbox")
-    messages.select(record.alias("value")).write.text(folder)
+    _mbox_records(spark, d).write.text(folder)
     return mailbox.read_mbox(spark, folder).select("sender", "subject", "date", "body")
 
 
@@ -534,28 +537,71 @@ def discovery_ingest(spark, d):
 
 
 @query
-def crawl_ingest(spark, d):
-    out = crawl.ingest(spark_view(spark, d, "candidates"), landed.normalise_fetches(spark_view(spark, d, "fetches")))
-    pages = out["pages"].select(
-        "search_result_id", "page_title", "extracted_text",
-        *[F.size(c).cast("bigint").alias("n_" + c) for c in ("emails", "images", "contact_links", "privacy_links", "social_links")],
+def mbox_training_rows(spark, d):
+    """The mailbox scan and the cleaning flow in one: a written mailbox to labelled rows."""
+    folder = work_folder(spark, "mbox-flow")
+    _mbox_records(spark, d).write.text(folder)
+    return mail.training_rows(mailbox.read_mbox(spark, folder)).select(
+        "sender_name", "sender_email_username", "sender_email_domain", "original_sender_string", "subject", "body", "label"
     )
-    return out["status"].join(pages, "search_result_id", "left")
+
+
+@query
+def review_after_analysis(spark, d):
+    """Pending pages are analysed, their scores stored, and the queue of exposed pages read from that."""
+    texts = spark_view(spark, d, "page_texts")
+    risks = analyse.analyse_pages(texts, _terms(spark, d))
+    scored = review.with_risk(spark_view(spark, d, "text_pages"), risks)
+    queue = review.review_queue(scored, spark_view(spark, d, "text_candidates"), "candidates")
+    return queue.select("id", "page_title", "risk_score", "match_score", "url")
+
+
+def _written(spark: SparkSession, folder: str) -> DataFrame:
+    """All rows of the tables of a crawl: ``table_name, page_id, item, detail``."""
+    nothing = F.lit(None).cast("string")
+    shown = {
+        "crawl_events": ("search_result_id", F.col("crawl_status"), F.col("ts")),
+        "crawled_pages": ("page_id", F.col("page_title"), F.col("extracted_text")),
+        "page_emails": ("page_id", F.col("email"), nothing),
+        "page_images": ("page_id", F.col("image_url"), nothing),
+        "page_links": ("page_id", F.col("url"), F.col("link_type")),
+        "page_phones": ("page_id", F.col("phone_number"), nothing),
+    }
+    return rows.union_all(
+        [
+            spark.read.parquet(f"{folder}/{name}").select(
+                F.lit(name).alias("table_name"), F.col(key).alias("page_id"), item.alias("item"), detail.alias("detail")
+            )
+            for name, (key, item, detail) in shown.items()
+        ]
+    )
+
+
+@query
+def crawl_ingest(spark, d):
+    fetches = landed.normalise_fetches(spark_view(spark, d, "fetches"))
+    wanted = crawl.pending_fetches(spark_view(spark, d, "candidates"), fetches)
+    folder = work_folder(spark, "crawl")
+    crawl.ingest(wanted, folder, batch=0, crawled_at=F.lit("2024-01-01 00:00:00"))
+    return _written(spark, folder)
 
 
 @query
 def stream_analyse(spark, d):
     folder, out = work_folder(spark, "landed"), work_folder(spark, "analysed")
-    pages = spark_view(spark, d, "raw_pages")
-    # One file lands twice: the second copy must not add rows.
-    pages.repartition(4, "page_id").write.parquet(folder)
-    pages.repartition(1, "page_id").write.mode("append").parquet(folder)
-    stream = streams.landed_pages(spark, folder, "page_id bigint, url string, html string", files_per_batch=2)
+    fetches = landed.normalise_fetches(spark_view(spark, d, "fetches"))
+    # All rows land twice: the second copies must not add anything.
+    fetches.repartition(4, "search_result_id").write.parquet(folder)
+    fetches.repartition(1, "search_result_id").write.mode("append").parquet(folder)
+    stream = streams.landed_pages(spark, folder, landed.FETCH_SCHEMA, files_per_batch=2)
     streams.analyse_stream(stream, _terms(spark, d), out, work_folder(spark, "checkpoint")).awaitTermination()
-    parsed = spark.read.parquet(f"{out}/pages")
+    events = spark.read.parquet(f"{out}/crawl_events").select(F.col("search_result_id").alias("page_id"), "crawl_status")
+    pages = spark.read.parquet(f"{out}/crawled_pages").select("page_id", "page_title", "extracted_text")
     found = spark.read.parquet(f"{out}/findings").select("page_id", "subject_id", "entity_type", "entity_value")
-    return parsed.join(found, "page_id", "left").select(
-        "page_id", "page_title", "extracted_text", "subject_id", "entity_type", "entity_value"
+    risk = spark.read.parquet(f"{out}/page_risk").select("page_id", "subject_id", "risk_score")
+    told = risk.join(found, ["page_id", "subject_id"], "left")
+    return events.join(pages, "page_id", "left").join(told, "page_id", "left").select(
+        "page_id", "crawl_status", "page_title", "extracted_text", "subject_id", "entity_type", "entity_value", "risk_score"
     )
 
 

@@ -47,6 +47,15 @@ SELECT d.doc_id AS page_id,
            ELSE '' END, '') END AS extracted_text,
        CASE d.doc_id % 7 WHEN 1 THEN 'verified' WHEN 2 THEN 'ignored' ELSE 'pending' END AS verification_status
 FROM {documents} d LEFT JOIN {subjects} s ON s.subject_id = d.doc_id
+""",
+    # Page texts as stored pages, and the addresses they came from.
+    "text_pages": """
+SELECT page_id AS id, page_id AS search_result_id, page_title, CAST(0 AS DOUBLE) AS risk_score,
+       CAST(CASE WHEN page_id % 10 = 9 THEN 1 ELSE 0 END AS DOUBLE) AS match_score, verification_status
+FROM {page_texts}
+""",
+    "text_candidates": """
+SELECT doc_id AS id, 'https://' || coalesce(source, 'none') || '.example.com/' || CAST(doc_id AS VARCHAR(20)) AS url FROM {documents}
 """,
     # Raw pages with the constructs the crawl lacks.
     "raw_pages": """

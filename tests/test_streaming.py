@@ -3,34 +3,44 @@
 from exposight.functions import urls
 from exposight.operators import matching
 from exposight.plans import crawl
+from exposight.sources import landed
 from exposight.streaming import pages as streams
 from pyspark.sql import functions as F
 
-PAGE = "page_id bigint, url string, html string"
-
 
 def test_analyse_stream_equals_batch_and_is_idempotent(spark, tmp_path):
-    pages = spark.createDataFrame(
-        [(i, f"https://h.example.com/{i}", f"<title>T{i}</title><p>Ana Testwell{i % 3} 01632 96000{i % 4}</p>") for i in range(12)], PAGE
-    )
+    rows = [
+        (i, f"https://h.example.com/{i}", 404 if i == 5 else 200, "text/html",
+         f"<title>T{i}</title><p>Ana Testwell{i % 3} 01632 96000{i % 4}</p><a href='/contact'>contact</a>") for i in range(12)
+    ]
+    fetches = spark.createDataFrame(rows, landed.FETCH_SCHEMA)
     terms = spark.createDataFrame(
         [(1, "name", "Ana Testwell1", 1.0), (1, "phone", "01632 960002", 1.0)], "subject_id bigint, entity_type string, entity_value string, confidence double"
     )
     landing, out = str(tmp_path / "in"), str(tmp_path / "out")
     keys = ["subject_id", "page_id", "entity_type", "entity_value"]
+    tables = {
+        "findings": keys, "crawl_events": ["search_result_id", "crawl_status"], "crawled_pages": ["page_id", "page_title"],
+        "page_links": ["page_id", "url", "link_type"], "page_phones": ["page_id", "phone_number"], "page_risk": ["page_id", "risk_score"],
+    }
 
     def run():
-        stream = streams.landed_pages(spark, landing, PAGE, files_per_batch=2)
+        stream = streams.landed_pages(spark, landing, landed.FETCH_SCHEMA, files_per_batch=2)
         streams.analyse_stream(stream, terms, out, str(tmp_path / "checkpoint")).awaitTermination()
-        found = spark.read.parquet(f"{out}/findings").select(keys).collect()
-        return sorted(tuple(r) for r in found), spark.read.parquet(f"{out}/pages").count()
+        return {t: sorted(tuple(r) for r in spark.read.parquet(f"{out}/{t}").select(*c).collect()) for t, c in tables.items()}
 
-    pages.repartition(3).write.parquet(landing)
+    fetches.repartition(3).write.parquet(landing)
     first = run()
-    parsed = crawl.parse_pages(pages)
-    assert first[0] == sorted(tuple(r) for r in matching.findings(parsed, terms).select(keys).collect())
-    assert first[1] == 12 and run() == first
-    pages.limit(4).write.mode("append").parquet(landing)
+    parsed = crawl.parse_pages(fetches.where("http_status < 400").withColumn("page_id", F.col("search_result_id")), base_url="final_url")
+    found = matching.findings(parsed, terms)
+    assert first["findings"] == sorted(tuple(r) for r in found.select(keys).collect())
+    assert first["page_risk"] == sorted(
+        tuple(r) for r in matching.page_risk(parsed, matching.risk_scores(found)).select("page_id", "risk_score").collect()
+    )
+    assert len(first["crawl_events"]) == 12 and (5, "failed") in first["crawl_events"]
+    assert [len(first[t]) for t in ("crawled_pages", "page_links", "page_phones")] == [11, 11, 11]
+    assert run() == first
+    fetches.limit(4).write.mode("append").parquet(landing)
     assert run() == first
 
 

@@ -84,17 +84,25 @@ def test_discovery_run_twice(spark):
     assert discovery.search_queries(subjects).count() == 4 + 2
 
 
-def test_crawl_and_status(spark):
+def test_crawl_and_status(spark, tmp_path):
     candidates = spark.createDataFrame([(1, "pending"), (2, "pending"), (3, "pending"), (4, "success")], "id bigint, crawl_status string")
     page = "<title>T</title>a@b.example.com<a href='/contact'>Contact</a>"
     fetched = spark.createDataFrame(
         [(1, "http://h.example.com/", 200, "Text/HTML; charset=utf-8", page), (2, "http://h.example.com/x", 200, "application/pdf", page),
          (3, "http://h.example.com/y", 404, "text/html", page), (4, "http://h.example.com/z", 200, "text/html", page)], landed.FETCH_SCHEMA,
     )
-    out = crawl.ingest(candidates, landed.normalise_fetches(fetched))
-    assert {r["search_result_id"]: r["crawl_status"] for r in out["status"].collect()} == {1: "success", 2: "unsupported", 3: "failed"}
-    assert [tuple(r) for r in crawl.page_emails(out["pages"]).collect()] == [(1, "a@b.example.com")]
-    assert [tuple(r) for r in crawl.page_links(out["pages"]).collect()] == [(1, "http://h.example.com/contact", "contact")]
+    wanted, folder = crawl.pending_fetches(candidates, landed.normalise_fetches(fetched)), str(tmp_path)
+    for _ in range(2):  # a repeated batch replaces its rows
+        pages = crawl.ingest(wanted, folder, batch=7)
+    read = lambda name, *columns: [tuple(r) for r in spark.read.parquet(f"{folder}/{name}").select(*columns).collect()]
+    assert dict(read("crawl_events", "search_result_id", "crawl_status")) == {1: "success", 2: "unsupported", 3: "failed"}
+    assert len(read("crawl_events", "ts")) == 3 and None not in [r[0] for r in read("crawl_events", "ts")]
+    assert pages.select("page_id", "page_title").collect() == [(1, "T")] and read("crawled_pages", "page_id") == [(1,)]
+    assert read("page_emails", "page_id", "email") == [(1, "a@b.example.com")]
+    assert read("page_links", "page_id", "url", "link_type") == [(1, "http://h.example.com/contact", "contact")]
+    assert read("page_images", "page_id") == read("page_phones", "page_id") == []
+    later = crawl.ingest(wanted.where("search_result_id = 9"), folder, batch=8)
+    assert later.count() == 0 and len(read("crawl_events", "ts")) == 3
     events = spark.createDataFrame([(1, 1, "2024-01-01", "failed"), (2, 1, "2024-01-02", "success"), (3, 2, "2024-01-01", "failed")], "event_id bigint, search_result_id bigint, ts string, crawl_status string")
     now = {r["search_result_id"]: (r["crawl_status"], r["crawl_attempts"]) for r in crawl.status_now(candidates, events).collect()}
     assert now == {1: ("success", 2), 2: ("failed", 1), 3: ("pending", 0), 4: ("pending", 0)}
@@ -125,6 +133,14 @@ def test_review(spark):
     assert after == {1: "verified", 2: "ignored", 3: "pending", 4: "pending", 5: "pending"}
 
 
+def test_risk_reaches_the_queue(spark):
+    pages = spark.createDataFrame([(i, i, "t", s, 0.0, "pending") for i, s in ((1, 0.0), (2, None), (3, 5.0), (4, 0.0))],
+        "id bigint, search_result_id bigint, page_title string, risk_score double, match_score double, verification_status string")
+    risks = spark.createDataFrame([(1, 7, 25), (1, 8, 65), (2, 7, 40), (4, None, 0)], "page_id bigint, subject_id bigint, risk_score bigint")
+    queue = review.review_queue(review.with_risk(pages, risks), pages.select("id", F.lit("u").alias("url")), "candidates")
+    assert [(r["id"], r["risk_score"]) for r in queue.collect()] == [(1, 65.0), (2, 40.0), (3, 5.0)]
+
+
 def test_work_folder(spark):
     assert work_folder(spark, "a") != work_folder(spark, "a")
 
