@@ -627,7 +627,7 @@ SELECT s.search_result_id AS page_id, s.crawl_status, g.page_title, g.extracted_
 FROM (SELECT search_result_id, {_FETCH_STATUS} AS crawl_status FROM {{fetches}}) s
 LEFT JOIN good g ON g.page_id = s.search_result_id AND s.crawl_status = 'success' LEFT JOIN n ON n.page_id = g.page_id"""
     undecided = ", ".join(map(_quote, fv.UNDECIDED_LABELS))
-    q["svm_train_eval"] = f"""WITH m AS ({q['mail_training_rows']}),
+    q["svm_train_eval"] = f"""WITH m AS ({q['mail_training_rows'].replace('{mails}', '{short_mails}')}),
 c AS (SELECT label, count(*) AS n FROM m WHERE label NOT IN ({undecided}) GROUP BY label),
 t AS (SELECT *, (SELECT sum(n) FROM c) AS total, (SELECT sum(n) - CAST(ceil(sum(n) / 5.0) AS HUGEINT) FROM c) AS n_train FROM c),
 f AS (SELECT *, n * n_train // total AS base, (n * n_train) % total AS rest FROM t),

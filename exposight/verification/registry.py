@@ -491,7 +491,7 @@ def encode_fixed(spark, d):
 
 
 def _stored_training(spark: SparkSession, d: str) -> DataFrame:
-    stored = materialise(mail.training_rows(_mails(spark, d)), "training-rows")
+    stored = materialise(mail.training_rows(spark_view(spark, d, "short_mails")), "training-rows")
     human = {"human_label": F.lit(None).cast("string"), "human_verified": F.lit(False)}
     return stored.withColumnRenamed("ordinal", "id").withColumns(human)
 

@@ -138,7 +138,45 @@ SELECT event_id AS id, event_id % 300 AS page_id,
        CASE event_id % 3 WHEN 0 THEN 'contact' WHEN 1 THEN 'privacy' ELSE 'social' END AS link_type
 FROM {events}
 """,
+    # Mail: every document is the body of one, most with phrases of a label planted.
     "mails": """
+SELECT doc_id AS ordinal,
+       CASE doc_id % 6
+         WHEN 0 THEN 'Deals Team <promo@shop.example.com>'
+         WHEN 1 THEN '"Doe, Jane" <jane@corp.example.org>'
+         WHEN 2 THEN 'no-reply@news.example.net'
+         WHEN 3 THEN '<alerts@social.example.com>'
+         WHEN 4 THEN 'Odd Name <a@b@c.example.com>'
+         ELSE CASE doc_id % 5
+           WHEN 0 THEN 'Jane (Sales) <jane@shop.example.com>'
+           WHEN 1 THEN '"A ' || chr(92) || '"B' || chr(92) || '" C" <abc@corp.example.org>'
+           WHEN 2 THEN '"Doe" Jane <doe@corp.example.org>'
+           WHEN 3 THEN 'Team <noat>'
+           ELSE '' END END AS sender,
+       CASE doc_id % 7
+         WHEN 0 THEN 'Flash  Sale: buy now'
+         WHEN 1 THEN 'Weekly digest'
+         WHEN 2 THEN 'Verification code inside'
+         WHEN 3 THEN 'We updated our privacy policy'
+         WHEN 4 THEN ' {ZWSP}Introducing a new feature '
+         WHEN 5 THEN 'Hello'
+         ELSE NULL END AS subject,
+       CASE doc_id % 10
+         WHEN 0 THEN '<div><p>' || coalesce(text, '') || '</p><p>Free shipping &amp; discount code.</p><p>Ends {NBSP} soon</p></div>'
+         WHEN 1 THEN 'wholesale ' || text
+         WHEN 2 THEN text || ' sale and sale'
+         WHEN 3 THEN text || ' GDPR: data subject, legal basis. Write to <dpo@corp.example.org>'
+         WHEN 4 THEN 'Webinar today. Book a demo. Free trial. ' || text
+         WHEN 5 THEN 'Someone mentioned you{ZWSP} and ' || text || ' commented on your post'
+         WHEN 6 THEN '<p>Monthly newsletter: roundup and top stories</p>' || text
+         WHEN 7 THEN ''
+         WHEN 8 THEN text
+         ELSE NULL END AS body,
+       '2024-01-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR(20)), 2, '0') || ' 08:00:00' AS date
+FROM {documents}
+""",
+    # Short mail for the classifier: phrases of a label alone.
+    "short_mails": """
 SELECT event_id AS ordinal,
        CASE event_id % 6
          WHEN 0 THEN 'Deals Team <promo@shop.example.com>'
