@@ -72,7 +72,8 @@ def read_mbox(spark: SparkSession, path: str) -> DataFrame:
     # Drop the rest of the "From " line; a message ends with the newline before the blank line.
     message = F.regexp_replace(F.col("value"), r"^[^\n]*\n", "")
     message = F.when(message.endswith("\n"), message).otherwise(F.concat(message, F.lit("\n")))
-    trimmed = F.regexp_replace(message, r"\n\n\z", "\n")
+    # In a file with CRLF line ends that newline is a CRLF, of which the separator took the LF.
+    trimmed = F.regexp_replace(message, r"(\r?\n)\r?\n\z", "$1")
     raw = records.where(F.trim("value") != "").withColumn("raw", F.encode(trimmed, "UTF-8")).drop("value")
     return parse_messages(raw, "raw", replaced=True)
 

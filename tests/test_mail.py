@@ -129,3 +129,10 @@ def test_mailbox_to_training_rows(spark, tmp_path):
     box.write_text("\n".join(f"From x\nFrom: Jane <j@x.com>\nSubject: {s}\nDate: d\n\n{b}\n" for s, b in mails))
     found = mail.training_rows(mailbox.read_mbox(spark, str(box))).orderBy("ordinal").collect()
     assert [(r["subject"], r["body"], r["sender_email_domain"]) for r in found] == [(s, b, "x.com") for s, b in (mails[0], mails[1], mails[3])]
+
+
+def test_mailbox_with_crlf_line_ends(spark, tmp_path):
+    one = "From x Mon Jan  1 00:00:00 2024\r\nFrom: s{0}\r\nSubject: n{0}\r\n\r\nfirst\r\nlast {0}\r\n\r\n"
+    (tmp_path / "crlf.mbox").write_bytes("".join(one.format(i) for i in range(3)).encode())
+    rows = mailbox.read_mbox(spark, str(tmp_path / "crlf.mbox")).orderBy("mail_file", "mail_block", "mail_seq").collect()
+    assert [(r["sender"], r["subject"], r["body"]) for r in rows] == [(f"s{i}", f"n{i}", f"first\r\nlast {i}\r\n") for i in range(3)]
