@@ -111,8 +111,8 @@ def _key(copy: Column) -> Column:
 
 def _cut(queued: DataFrame, max_copies: int) -> Column | None:
     """Key of the last copy within the budget, the whole of all sizes; None if there is none."""
-    used = F.least(F.lit(max_copies), F.floor(F.col("target") / F.col("source_size")) + 1)
-    copies = queued.where("size > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), (used - 1).cast("int"))))
+    # All copies: sources lag their targets by parts of documents, so the cut may lie in a copy beyond the target.
+    copies = queued.where("size > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(max_copies - 1))))
     keyed = copies.select(_key(F.col("copy")).alias("key"), "size")
     ranged = keyed.repartitionByRange("key").withColumn("part", F.spark_partition_id())
     ranged = materialise(ranged, "mix-ranges")

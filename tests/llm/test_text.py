@@ -5,6 +5,7 @@ import hashlib
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -204,6 +205,23 @@ def test_mixing(documents, clashing):
     assert mixing.mix(documents([(1, ""), (2, None)]), (5, 2, 1)).where("taken > 0").count() == 0
 
 
+def test_mixing_many_small_sources(documents):
+    """The sources lag their targets by so much that the budget ends in copies beyond the targets."""
+    rng = random.Random(8)
+    rows = []
+    for source in range(2000):
+        for _ in range(rng.randint(3, 10)):
+            words = min(int(rng.lognormvariate(1.5, 2)), 3000)
+            rows.append((len(rows), "w " * words, "en", f"s{source:04}"))
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows], "source": [r[3] for r in rows]}))
+    want = con.execute(queries.ORACLES["op2_mixing"]).fetchall()
+    found = mixing.mix(documents(rows), queries.MIX_WEIGHTS).select("doc_id", "size", "source_size", "target", "taken")
+    found = sorted(map(tuple, found.collect()))
+    assert sum(r[4] for r in found) <= sum(r[1] for r in found)
+    assert found == sorted(want)
+
+
 # --- url rules -----------------------------------------------------------------
 
 
