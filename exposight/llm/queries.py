@@ -78,7 +78,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.link(table(spark, sf_dir, "conversations"))
+    return chat.link(table(spark, sf_dir, "conversations"), keep_unlinked=True)
 
 
 def op9_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

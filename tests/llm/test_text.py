@@ -329,6 +329,39 @@ def test_chat_links(spark):
     assert all(r["reply_to"] is None or place[r["reply_to"]] < place[r["turn"]] for r in ordered)
 
 
+def test_chat_partial_quotes(spark):
+    first = "The cat sat.  It purred\nloudly. Then it\nslept.\nGood night"
+    rows = [
+        (1, 0, first),
+        (1, 1, "other words. It purred"),
+        (1, 2, "> It purred loudly.\n\na sentence over two lines"),
+        (1, 3, "> loudly. Then it\n> SLEPT.\n\nsome lines"),
+        (1, 4, "A wrote:\n> The cat sat.  It purred\n> loudly. Then it\nanswered inside\n> slept.\n> Good night\nend"),
+        (1, 5, "B wrote:\n> from outside\n\nkept"),
+        (1, 6, "> Good night\n> never written\n\nhalf"),
+        (1, 7, ">>> print(1)\n> answered inside\n\ncode"),
+        (1, 8, "a one\nb two\nc three\nd four\ne five"),
+        (1, 9, "b two\nc three"),
+        (1, 10, "> x\n> b two\n> c three\n> d four\n\nlongest run, not the latest"),
+        (1, 11, "> longest run, not the latest\n\nthrough"),
+        (2, 1, "> It purred loudly.\n\nanother conversation"),
+        (None, 1, "> The cat sat.\n\nno conversation"),
+    ]
+    df = spark.createDataFrame([(c, t, "user", text, "b", "p") for c, t, text in rows], CHAT)
+    found = {(r["conv_id"], r["turn"]): r for r in chat.link(df, keep_unlinked=True).collect()}
+    assert len(found) == len(rows)
+    replies = {2: 0, 3: 0, 4: 0, 6: 0, 7: 4, 10: 8, 11: 10}
+    assert {t: r["reply_to"] for (c, t), r in found.items() if c == 1} == {t: replies.get(t) for t in range(12)}
+    assert (found[1, 7]["root"], found[1, 7]["depth"], found[1, 11]["root"], found[1, 11]["depth"]) == (0, 2, 8, 2)
+    assert found[2, 1]["reply_to"] is None and found[None, 1]["reply_to"] is None
+    body = {k: r["body"] for k, r in found.items()}
+    assert body[1, 2] == "a sentence over two lines" and body[1, 3] == "some lines" and body[1, 4] == "answered inside\nend"
+    assert body[1, 5] == rows[5][2] and body[1, 6] == rows[6][2] and body[1, 10] == rows[10][2]
+    assert body[1, 7] == ">>> print(1)\n\ncode"
+    assert body[2, 1] == rows[12][2] and body[None, 1] == rows[13][2]
+    assert all(r["message"] == f"<|user|>\n{r['body']}\n<|end|>\n" for r in found.values())
+
+
 def test_op8_rows(spark):
     sf = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in queries.table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").collect()]
