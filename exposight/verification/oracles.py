@@ -632,6 +632,11 @@ c AS (SELECT label, count(*) AS n FROM m WHERE label NOT IN ({undecided}) GROUP
 t AS (SELECT *, (SELECT sum(n) FROM c) AS total, (SELECT sum(n) - CAST(ceil(sum(n) / 5.0) AS HUGEINT) FROM c) AS n_train FROM c),
 f AS (SELECT *, n * n_train // total AS base, (n * n_train) % total AS rest FROM t),
 e AS (SELECT *, row_number() OVER (ORDER BY rest DESC, label) AS rk, n_train - sum(base) OVER () AS open FROM f)
+SELECT label, CAST(n - base - CASE WHEN rk <= open THEN 1 ELSE 0 END AS BIGINT) AS support, true AS reaches_bar FROM e"""
+    q["svm_language_eval"] = """WITH c AS (SELECT lang AS label, count(*) AS n FROM {documents} WHERE lang IS NOT NULL AND text IS NOT NULL GROUP BY lang),
+t AS (SELECT *, (SELECT sum(n) FROM c) AS total, (SELECT sum(n) - CAST(ceil(sum(n) / 5.0) AS HUGEINT) FROM c) AS n_train FROM c),
+f AS (SELECT *, n * n_train // total AS base, (n * n_train) % total AS rest FROM t),
+e AS (SELECT *, row_number() OVER (ORDER BY rest DESC, label) AS rk, n_train - sum(base) OVER () AS open FROM f)
 SELECT label, CAST(n - base - CASE WHEN rk <= open THEN 1 ELSE 0 END AS BIGINT) AS support, true AS reaches_bar FROM e"""
     q["stream_dedup"] = f"SELECT DISTINCT subject_id, {_canonical('href')} AS url FROM {{hits}} WHERE coalesce(href, '') <> ''"
     return q
