@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from exposight.llm import byte_bpe, chat, embedding_dedup, exact_dedup, language_id, mixing, phrase_dedup, simhash, token_files, url_filter
+from exposight.llm import (
+    byte_bpe, chat, embedding_dedup, exact_dedup, language_id, mixing, phrase_dedup, simhash, token_files, url_filter, whitening,
+)
 
 URL_RULES = [
     ("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"),
@@ -90,11 +92,15 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=4)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_mixing, op3_embedding_dedup, op4_url_filter, op5_token_files, op6_byte_bpe, op7_simhash,
-        op8_chat_formatting, op9_phrase_dedup, op10_exact_dedup,
+        op8_chat_formatting, op9_phrase_dedup, op10_exact_dedup, op11_whitening,
     )
 }
 
