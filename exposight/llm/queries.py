@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from exposight.llm import (
-    alignment, byte_bpe, chat, embedding_dedup, exact_dedup, language_id, mixing, phrase_dedup, simhash, token_files, url_filter, whitening,
+    alignment, byte_bpe, chat, embedding_dedup, exact_dedup, language_id, mixing, phrase_dedup, piece_bpe, simhash,
+    token_files, url_filter, whitening,
 )
 
 URL_RULES = [
@@ -96,6 +97,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), components=4)
 
 
+def op12_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
     return alignment.align(table(spark, sf_dir, "documents"), a, b)
@@ -106,7 +111,7 @@ QUERIES = {
     for f in (
         op1_language_id, op2_mixing, op3_embedding_dedup, op4_url_filter, op5_token_files, op6_byte_bpe, op7_simhash,
         op8_chat_formatting, op9_phrase_dedup, op10_exact_dedup, op11_whitening,
-        op13_alignment,
+        op12_piece_bpe, op13_alignment,
     )
 }
 
