@@ -21,9 +21,9 @@ from __future__ import annotations
 
 import functools
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,49 +67,67 @@ def tokenizers(a_path: str, b_path: str):
     return a, a_bytes, b, b_bytes
 
 
-def groups(a_ids: list[int], b_ids: list[int], a_bytes: list[bytes], b_bytes: list[bytes]) -> list[tuple[list, list]]:
-    """Cut both token sequences where an A and a B token end at one byte offset."""
-    found, a_at, b_at, ea, eb = [], 0, 0, 0, 0
-    while a_at < len(a_ids) or b_at < len(b_ids):
-        ga, gb = [], []
-        while True:
-            if ea <= eb and a_at < len(a_ids):
-                ea += len(a_bytes[a_ids[a_at]])
-                ga.append(a_ids[a_at])
-                a_at += 1
-            elif b_at < len(b_ids):
-                eb += len(b_bytes[b_ids[b_at]])
-                gb.append(b_ids[b_at])
-                b_at += 1
-            else:
-                break
-            if ea == eb and ga and gb:
-                break
-        found.append((ga, gb))
-    return found
-
-
 def align_text(text: str | None, a, a_bytes, b, b_bytes, a_ids=None, b_ids=None) -> tuple:
-    """``n_a, n_b, n_groups, n_links, groups_sha256, [(a, b, m)]`` of one text."""
-    empty = (0, 0, 0, 0, "", [])
+    """``n_a, n_b, n_groups, n_links, groups_sha256, (a, b, m)`` of one text, by whole-array steps; the last are
+    arrays of the distinct linked id pairs and how many links each has."""
+    empty = (0, 0, 0, 0, "", (np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64)))
     if not text:
         return empty
     whole = (" " + text).encode()
     a_ids = a.encode(" " + text, add_special_tokens=False).ids if a_ids is None else a_ids
     b_ids = b.encode(text) if b_ids is None else b_ids
-    if b"".join(a_bytes[i] for i in a_ids) != whole or b"".join(b_bytes[i] for i in b_ids) != whole:
+    if b"".join(map(a_bytes.__getitem__, a_ids)) != whole or b"".join(map(b_bytes.__getitem__, b_ids)) != whole:
         return empty
-    cut = groups(a_ids, b_ids, a_bytes, b_bytes)
-    pairs: Counter = Counter()
-    for ga, gb in cut:
-        ca, cb = Counter(ga), Counter(gb)
-        for x, m in ca.items():
-            for y, k in cb.items():
-                pairs[(x, y)] += m * k
-    shown = ";".join(",".join(map(str, ga)) + "|" + ",".join(map(str, gb)) for ga, gb in cut)
-    n_links = sum(len(ga) * len(gb) for ga, gb in cut)
-    digest = hashlib.sha256(shown.encode()).hexdigest()
-    return len(a_ids), len(b_ids), len(cut), n_links, digest, [(x, y, m) for (x, y), m in sorted(pairs.items())]
+    ai, bi = np.asarray(a_ids, dtype=np.int64), np.asarray(b_ids, dtype=np.int64)
+    ends_a, ends_b = np.cumsum(_lengths(a_bytes)[ai]), np.cumsum(_lengths(b_bytes)[bi])
+    cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
+    ga, gb = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
+    n_groups = len(cuts)
+    na, nb = np.bincount(ga, minlength=n_groups), np.bincount(gb, minlength=n_groups)
+    first_b = np.concatenate([[0], np.cumsum(nb)[:-1]])
+    # Each A token with every B token of its group.
+    per_a = nb[ga]
+    total = int(per_a.sum())
+    offsets = np.repeat(np.cumsum(per_a) - per_a, per_a)
+    b_at = np.repeat(first_b[ga], per_a) + (np.arange(total) - offsets)
+    keys = (np.repeat(ai, per_a) << 32) | bi[b_at]
+    pair, m = np.unique(keys, return_counts=True)
+    # a1,a2|b1;a3|b2,b3 : per group its A ids, then its B ids; ids joined by commas, then the commas at borders replaced.
+    ids = np.concatenate([ai, bi])
+    group = np.concatenate([ga, gb])
+    side = np.concatenate([np.zeros(len(ai), np.int8), np.ones(len(bi), np.int8)])
+    order = np.lexsort((np.arange(len(ids)), side, group))
+    ordered, g, sd = ids[order], group[order], side[order]
+    shown = np.frombuffer(",".join(map(str, ordered.tolist())).encode(), dtype=np.uint8).copy()
+    digits = np.ones(len(ordered), np.int64)
+    for power in range(1, 11):
+        digits += ordered >= 10**power
+    at = np.cumsum(digits + 1)[:-1] - 1
+    same_group = g[1:] == g[:-1]
+    shown[at] = np.where(same_group & (sd[1:] == sd[:-1]), ord(","), np.where(same_group, ord("|"), ord(";")))
+    digest = hashlib.sha256(shown.tobytes()).hexdigest()
+    pairs = ((pair >> 32).astype(np.int32), (pair & 0xFFFFFFFF).astype(np.int32), m.astype(np.int64))
+    return len(a_ids), len(b_ids), n_groups, int((na * nb).sum()), digest, pairs
+
+
+_LENGTHS: dict[int, np.ndarray] = {}
+
+
+def _lengths(table: list[bytes]) -> np.ndarray:
+    found = _LENGTHS.get(id(table))
+    if found is None:
+        found = _LENGTHS[id(table)] = np.fromiter(map(len, table), dtype=np.int64, count=len(table))
+    return found
+
+
+def _pair_lists(per_text: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.Array:
+    sizes = [len(p[0]) for p in per_text]
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    parts = [np.concatenate([p[k] for p in per_text]) if per_text else np.zeros(0) for k in range(3)]
+    values = pa.StructArray.from_arrays(
+        [pa.array(parts[0], pa.int32()), pa.array(parts[1], pa.int32()), pa.array(parts[2], pa.int64())], names=["a", "b", "m"]
+    )
+    return pa.ListArray.from_arrays(offsets, values)
 
 
 def _per_batch(a_path: str, b_path: str):
@@ -126,7 +144,7 @@ def _per_batch(a_path: str, b_path: str):
                 columns = list(zip(*done)) if done else [[]] * 6
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), *[pa.array(c, pa.int64()) for c in columns[:4]],
-                     pa.array(columns[4], pa.string()), pa.array(columns[5], PAIRS)],
+                     pa.array(columns[4], pa.string()), _pair_lists(columns[5])],
                     names=["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs"],
                 )
 
