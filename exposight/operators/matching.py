@@ -12,8 +12,12 @@ Texts and terms meet in equi-joins, never pair by pair:
 3. The characters at each place are looked up among the terms by equality.
 
 The result is exactly "text contains term", in one pass over the texts at any
-number of terms: the optimizer broadcasts the terms' places while they are small
-and shuffles both sides by key beyond that, splitting keys that many texts hold.
+number of terms. While the terms' places fit the broadcast threshold (counted,
+not guessed), they are broadcast and each key row keeps its piece of text, which
+never leaves its task. Beyond that, key rows carry no text: (page, piece number,
+place) survive the shuffled join with the places, and only those candidates fetch
+their characters, by (page, piece number), from pieces of FETCH_PIECE_CHARS
+characters, so the text crosses the network about once.
 """
 
 from __future__ import annotations
@@ -36,6 +40,10 @@ WIDEST_STRIDE = 8
 # Texts are read in overlapping pieces of this many characters. Short pieces keep
 # reaching into a piece cheap and bound what one huge page puts into one row.
 PIECE_CHARS = 64
+# Pieces that candidates fetch on the shuffled path: long, so their overlap is a small share.
+FETCH_PIECE_CHARS = 1024
+# Bytes of one place row as the broadcast threshold counts them.
+PLACE_ROW_BYTES = 48
 
 
 def identity_terms(subjects: DataFrame) -> DataFrame:
@@ -93,27 +101,34 @@ def _places(needles: DataFrame, groups: list[_Group]) -> DataFrame:
     ).distinct()
 
 
-def _text_keys(pages: DataFrame, page_id: str, text: Column, groups: list[_Group]) -> DataFrame:
-    """Keys of all texts for the term lengths in use.
-
-    A piece owns the terms starting in its first ``PIECE_CHARS`` characters and
-    reaches far enough beyond them to hold the longest one whole.
-    """
-    reach = PIECE_CHARS + max(g.longest for g in groups)
-    pattern = rf"(?s)(?=(.{{1,{reach}}})).{{1,{PIECE_CHARS}}}"
-    pieces = pages.select(
+def _pieces(pages: DataFrame, page_id: str, text: Column, owned: int, reach: int) -> DataFrame:
+    """``page_id, piece_no, piece``: a piece owns the terms starting in its first ``owned`` characters and holds
+    ``reach`` characters, enough for the longest one whole."""
+    pattern = rf"(?s)(?=(.{{1,{reach}}})).{{1,{owned}}}"
+    return pages.select(
         F.col(page_id).alias("page_id"),
-        F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).alias("piece"),
+        F.posexplode(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).alias("piece_no", "piece"),
     )
+
+
+def _text_keys(
+    pages: DataFrame, page_id: str, text: Column, groups: list[_Group], owned: int = PIECE_CHARS, keep_piece: bool = True
+) -> DataFrame:
+    """Keys of all texts for the term lengths in use, with the piece they are in, or with its number only."""
+    reach = owned + max(g.longest for g in groups)
+    if not keep_piece:
+        reach = owned + max(g.stride + g.key_length for g in groups)
+    pieces = _pieces(pages, page_id, text, owned, reach)
     spots = [
         F.struct(F.lit(g.number).alias("group"), F.lit(at).alias("at"), F.lit(g.key_length).alias("key_length"))
         for g in groups
-        for at in range(1, PIECE_CHARS + g.stride + 1, g.stride)
+        for at in range(1, owned + g.stride + 1, g.stride)
     ]
-    spotted = pieces.select("page_id", "piece", F.explode(F.array(*spots)).alias("spot"))
+    spotted = pieces.select("page_id", "piece_no", "piece", F.explode(F.array(*spots)).alias("spot"))
     return spotted.select(
         "page_id",
-        "piece",
+        "piece_no",
+        *(["piece"] if keep_piece else []),
         F.col("spot.group").alias("group"),
         F.col("spot.at").alias("at"),
         F.substring("piece", F.col("spot.at"), F.col("spot.key_length")).alias("key"),
@@ -128,6 +143,7 @@ class PreparedTerms:
     needles: DataFrame
     groups: dict[bool, list[_Group]]
     places: dict[bool, DataFrame]
+    place_rows: dict[bool, int] | None = None
 
 
 def prepare(terms: DataFrame) -> PreparedTerms:
@@ -149,7 +165,13 @@ def prepare(terms: DataFrame) -> PreparedTerms:
         in_digits: materialise(_places(grouped.where(F.col("in_digits") == in_digits), own), "term-places")
         for in_digits, own in groups.items()
     }
-    return PreparedTerms(terms, grouped, groups, places)
+    return PreparedTerms(terms, grouped, groups, places, {k: v.count() for k, v in places.items()})
+
+
+def _broadcast_fits(spark, rows: int) -> bool:
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    size = int(threshold.lower().rstrip("b").replace("m", "000000").replace("k", "000")) if threshold else -1
+    return size > 0 and rows * PLACE_ROW_BYTES <= size
 
 
 def needle_hits(
@@ -166,6 +188,11 @@ def needle_hits(
     starts_at = F.col("at") - F.col("shift")
     for in_digits, groups in prepared.groups.items():
         needles = prepared.needles.where(F.col("in_digits") == in_digits).select("needle")
+        rows = (prepared.place_rows or {}).get(in_digits)
+        if rows is not None and not _broadcast_fits(pages.sparkSession, rows):
+            hits = _fetched_hits(pages, page_id, haystack[in_digits], groups, prepared.places[in_digits], needles)
+            found = found.unionByName(hits.select("page_id", F.lit(in_digits).alias("in_digits"), "needle"))
+            continue
         candidates = (
             _text_keys(pages, page_id, haystack[in_digits], groups)
             .join(prepared.places[in_digits], ["group", "key"])
@@ -177,6 +204,26 @@ def needle_hits(
     return found.distinct()
 
 
+def _fetched_hits(
+    pages: DataFrame, page_id: str, text: Column, groups: list[_Group], places: DataFrame, needles: DataFrame
+) -> DataFrame:
+    """``page_id, needle``: keys without text meet the places; candidates then fetch their characters."""
+    owned = FETCH_PIECE_CHARS
+    keys = _text_keys(pages, page_id, text, groups, owned, keep_piece=False)
+    starts_at = F.col("at") - F.col("shift")
+    candidates = (
+        keys.join(places, ["group", "key"])
+        .where((starts_at >= 1) & (starts_at <= owned))
+        .select("page_id", "piece_no", starts_at.alias("start"), "place_length")
+        .distinct()
+    )
+    fetch = _pieces(pages, page_id, text, owned, owned + max(g.longest for g in groups) - 1)
+    cut = candidates.join(fetch, ["page_id", "piece_no"]).select(
+        "page_id", F.substring("piece", F.col("start"), F.col("place_length")).alias("needle")
+    )
+    return cut.join(needles, "needle", "left_semi")
+
+
 def findings(
     pages: DataFrame,
     terms: DataFrame | PreparedTerms,

@@ -109,3 +109,21 @@ def test_texts_stay_in_place_while_terms_are_small(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert exchanges and all("piece" not in line and "extracted_text" not in line for line in exchanges)
+
+
+@pytest.mark.parametrize("seed", [1, 3, 6])
+def test_fetched_path_equals_brute_force(spark, seed):
+    """Places above the broadcast threshold: key rows without text, candidates fetch their characters."""
+    pages, terms = random_case(seed)
+    pages = pages + [(200, "x" * 5000 + pages[0][1] + "y" * 3000)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        page_frame = spark.createDataFrame(pages, PAGES)
+        prepared = matching.prepare(spark.createDataFrame(terms, TERMS))
+        plan = matching.needle_hits(page_frame, prepared)._jdf.queryExecution().optimizedPlan().toString()
+        found = as_set(matching.findings(page_frame, prepared))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found == brute(pages, terms)
+    assert "piece_no" in plan
