@@ -21,10 +21,12 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,7 @@ PER_DOC = (
     "pairs array<struct<a:int, b:int, m:bigint>>"
 )
 TEXTS_AT_ONCE = 256
+CHARS_AT_ONCE = 1 << 20  # a slice of texts holds at most this many characters, or one text
 
 
 def byte_level_table() -> dict[str, int]:
@@ -50,6 +53,9 @@ def tokenizers(a_path: str, b_path: str):
     import sentencepiece
     from tokenizers import Tokenizer
 
+    # A task has its core; the library's own thread pool would add threads, and their memory, to every worker.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+
     a = Tokenizer.from_file(a_path)
     a.encode_special_tokens = True  # their strings in a text are plain text
     table = byte_level_table()
@@ -130,12 +136,23 @@ def _pair_lists(per_text: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa
     return pa.ListArray.from_arrays(offsets, values)
 
 
+def _slices(texts: pa.Array, most_rows: int, most_chars: int) -> Iterator[tuple[int, int]]:
+    """(start, rows) of consecutive texts with at most ``most_rows`` rows and ``most_chars`` characters, or one text."""
+    lengths = pa.compute.fill_null(pa.compute.utf8_length(texts), 0).to_numpy(zero_copy_only=False)
+    start = 0
+    while start < len(lengths):
+        reach = np.cumsum(lengths[start : start + most_rows])
+        size = max(1, int(np.searchsorted(reach, most_chars, side="right")))
+        yield start, size
+        start += size
+
+
 def _per_batch(a_path: str, b_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, a_bytes, b, b_bytes = tokenizers(a_path, b_path)
         for whole in batches:
-            for start in range(0, whole.num_rows, TEXTS_AT_ONCE):
-                batch = whole.slice(start, TEXTS_AT_ONCE)
+            for start, size in _slices(whole.column(2), TEXTS_AT_ONCE, CHARS_AT_ONCE):
+                batch = whole.slice(start, size)
                 texts = batch.column(2).to_pylist()
                 present = [t if t else "" for t in texts]
                 a_all = [e.ids for e in a.encode_batch([" " + t for t in present], add_special_tokens=False)]

@@ -80,3 +80,12 @@ def test_byte_level_table_is_the_tokenizers_one():
     for text in ["héllo\x00\x7f wörld", "日本 🙂", "".join(map(chr, range(1, 300)))]:
         ids = a.encode(text, add_special_tokens=False).ids
         assert b"".join(a_bytes[i] for i in ids) == text.encode()
+
+
+def test_slices_bound_characters():
+    import pyarrow as pa
+
+    texts = pa.array(["a" * 10, None, "b" * 30, "", "c" * 5, "d" * 100, "e"])
+    got = list(alignment._slices(texts, 3, 40))
+    assert got == [(0, 3), (3, 2), (5, 1), (6, 1)]
+    assert sum(n for _, n in got) == len(texts)
