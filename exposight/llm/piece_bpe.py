@@ -36,7 +36,7 @@ from exposight.llm.batches import map_values
 
 SPACE = "▁"
 CACHED_CHARS = 64
-CACHED_SEGMENTS = 1 << 16
+CACHED_SEGMENTS = 1 << 18
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -120,6 +120,11 @@ class Model:
             self.automaton.add_word(p, (rank[p], len(p)))
         self.automaton.make_automaton()
         self.ids_of_rank = [self.id_of[p] for p in self.rank_piece]
+        self.rank_of_text = {p: rank[p] for p in self.chars} | {
+            p: rank[p] for p in merged if self.split[rank[p]][0] != rank[p]
+        }
+        self._cache: dict[str, tuple[int, ...]] = {}
+        self.surface = [self._surface(i) for i in range(len(self.pieces))]
 
     def valid_pair(self, a: int, b: int) -> bool:
         """Would BPE leave ranks ``a`` and ``b`` side by side? Undo their merges, latest first, checking the border."""
@@ -147,44 +152,48 @@ class Model:
 
     def backtrack(self, text: str) -> list[int]:
         """Ranks of the BPE encoding of ``text``, all of whose characters are pieces."""
+        whole = self.rank_of_text.get(text)
+        if whole is not None:
+            return [whole]  # the longest match, first and ending at the end: kept at once
         n = len(text)
-        starting: list[list[int]] = [[] for _ in range(n)]
-        length = {}
-        for end, (r, size) in self.automaton.iter(text):
-            starting[end - size + 1].append(r)
-            length[r] = size
-        for options in starting:
-            options.sort(key=lambda r: -length[r])
+        starting: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+        for end, match in self.automaton.iter(text):
+            starting[end - match[1] + 1].append(match)
+        # The matches of one start arrive by rising end, so each list runs from short to long: walk it from its end.
         usable = bytearray(b"\x01") * (n + 1)
         tokens: list[int] = []
+        sizes: list[int] = []
         choice: list[int] = []  # index into ``starting`` of each token
-        pos, k = 0, 0
+        pos, k = 0, len(starting[0]) - 1
         while pos < n:
             options = starting[pos]
-            while k < len(options):
-                r = options[k]
-                end = pos + length[r]
-                if usable[end] and (not tokens or self.valid_pair(tokens[-1], r)):
+            while k >= 0:
+                r, size = options[k]
+                if usable[pos + size] and (not tokens or self.valid_pair(tokens[-1], r)):
                     break
-                k += 1
-            if k < len(options):
-                tokens.append(options[k])
+                k -= 1
+            if k >= 0:
+                tokens.append(r)
+                sizes.append(size)
                 choice.append(k)
-                pos += length[options[k]]
-                k = 0
+                pos += size
+                k = len(starting[pos]) - 1 if pos < n else -1
             else:
                 usable[pos] = 0
-                r = tokens.pop()
-                pos -= length[r]
-                k = choice.pop() + 1
+                tokens.pop()
+                pos -= sizes.pop()
+                k = choice.pop() - 1
         return tokens
 
-    @functools.lru_cache(maxsize=CACHED_SEGMENTS)
-    def _cached(self, segment: str) -> tuple[int, ...]:
-        return tuple(self._segment(segment))
-
     def segment(self, segment: str) -> tuple[int, ...]:
-        return self._cached(segment) if len(segment) <= CACHED_CHARS else tuple(self._segment(segment))
+        found = self._cache.get(segment)
+        if found is None:
+            found = tuple(self._segment(segment))
+            if len(segment) <= CACHED_CHARS:
+                if len(self._cache) >= CACHED_SEGMENTS:
+                    self._cache.clear()
+                self._cache[segment] = found
+        return found
 
     def _segment(self, segment: str) -> list[int]:
         """Ids of one segment; characters outside the vocabulary become byte pieces."""
@@ -241,23 +250,22 @@ class Model:
             out.append(self.eos)
         return out
 
+    def _surface(self, i: int) -> bytes:
+        kind = self.types[i]
+        if kind == CONTROL:
+            return b""
+        if kind == BYTE:
+            return bytes([int(self.pieces[i][3:5], 16)])
+        return (" ⁇ " if kind == UNKNOWN else self.pieces[i]).replace(SPACE, " ").encode()
+
     def decode(self, ids: list[int]) -> str:
-        parts: list[bytes] = []
-        first = True
-        for i in ids:
-            kind = self.types[i]
-            if kind == CONTROL:
-                continue
-            if kind == BYTE:
-                parts.append(bytes([int(self.pieces[i][3:5], 16)]))
-                first = False
-                continue
-            piece = " ⁇ " if kind == UNKNOWN else self.pieces[i]
-            if first and self.dummy_prefix and piece.startswith(SPACE):
-                piece = piece[1:]
-            first = False
-            parts.append(piece.replace(SPACE, " ").encode())
-        return b"".join(parts).decode("utf-8", errors="replace")
+        joined = b"".join(map(self.surface.__getitem__, ids))
+        if self.dummy_prefix:
+            # The dummy prefix's space: the leading U+2581 of the first piece that is not a control piece.
+            first = next((i for i in ids if self.types[i] != CONTROL), None)
+            if first is not None and self.types[first] in (NORMAL, UNUSED) and self.pieces[first].startswith(SPACE):
+                joined = joined[1:]
+        return joined.decode("utf-8", errors="replace")
 
 
 @functools.cache
