@@ -30,8 +30,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """ids of every document, with digests of them and of what they decode to."""
-    encoder = queries.byte_encoder()
-    return queries.bpe_digests(byte_bpe.encode(docs, encoder), encoder)
+    return byte_bpe.encode_digests(docs, queries.byte_encoder())
 
 
 STAGES = [

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -177,3 +178,25 @@ def encode(
 def decode(encoded: DataFrame, encoder: Encoder, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """One row per row of ``encoded``: ``doc_id, decoded``, the raw bytes."""
     return map_values(encoded, id_col, ids_col, lambda values: [(encoder.decode(v or b""),) for v in values], "decoded binary")
+
+
+def encode_digests(
+    docs: DataFrame, encoder: Encoder, id_col: str = "doc_id", text_col: str = "text",
+    chunk: int = CHUNK, overlap: int = OVERLAP,
+) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` per row, as ``encode`` then ``decode`` give them.
+
+    A text of at most ``chunk`` characters is encoded, decoded and digested in one worker; longer ones go through the
+    chunked encoding and are decoded after it.
+    """
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    is_long = F.length("text") > chunk
+
+    def digests(ids: bytes) -> tuple:
+        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(encoder.decode(ids)).hexdigest()
+
+    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    short = map_values(rows.where(~is_long), "doc_id", "text", lambda texts: [digests(encoder.encode(t)) for t in texts], schema)
+    long_ids = encode(rows.where(is_long), encoder, chunk=chunk, overlap=overlap)
+    long = map_values(long_ids, "doc_id", "ids", lambda values: [digests(v or b"") for v in values], schema)
+    return short.unionByName(long)

@@ -23,10 +23,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from exposight.llm.batches import map_values
+from exposight.llm.batches import TEXTS_AT_ONCE, map_values
 
 PER_LANGUAGE = 500  # bound of the training sample, documents per language
 BUCKET_BITS = 15
@@ -212,13 +213,18 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the model does not reject; all columns kept."""
+    """The rows of ``docs`` that the model does not reject; all columns kept. Rows are judged in Arrow slices of
+    TEXTS_AT_ONCE, in the one worker of the task."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
 
-    @F.pandas_udf("boolean")
-    def fits(texts: pd.Series) -> pd.Series:
-        return pd.Series([not shared.value.predict(t)[2] for t in texts], dtype=bool)
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, TEXTS_AT_ONCE):
+                batch = whole.slice(start, TEXTS_AT_ONCE)
+                fits = [not shared.value.predict(t)[2] for t in batch.column(at).to_pylist()]
+                yield batch.filter(pa.array(fits, pa.bool_()))
 
-    return docs.where(fits(F.col(text_col)))
+    return docs.mapInArrow(keep, docs.schema)
 
 
