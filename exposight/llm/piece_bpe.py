@@ -27,6 +27,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import heapq
+import re
 
 import ahocorasick
 import numpy as np
@@ -35,6 +36,7 @@ from pyspark.sql import DataFrame
 from exposight.llm.batches import map_values
 
 SPACE = "▁"
+SEGMENTS = re.compile(f"{SPACE}[^{SPACE}]*|[^{SPACE}]+")
 CACHED_CHARS = 64
 CACHED_SEGMENTS = 1 << 18
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -123,7 +125,8 @@ class Model:
         self.rank_of_text = {p: rank[p] for p in self.chars} | {
             p: rank[p] for p in merged if self.split[rank[p]][0] != rank[p]
         }
-        self._cache: dict[str, tuple[int, ...]] = {}
+        self._cache: dict[str, tuple[bool, tuple[int, ...]]] = {}
+        self.space_id = self.id_of.get(SPACE, -1)
         self.surface = [self._surface(i) for i in range(len(self.pieces))]
 
     def valid_pair(self, a: int, b: int) -> bool:
@@ -155,6 +158,11 @@ class Model:
         whole = self.rank_of_text.get(text)
         if whole is not None:
             return [whole]  # the longest match, first and ending at the end: kept at once
+        # The first tries of the backtracking are the longest match at each end in turn; while every pair of them
+        # passes, nothing is stepped back and they are the encoding.
+        greedy = [r for _, (r, _) in self.automaton.iter_long(text)]
+        if all(self.valid_pair(a, b) for a, b in zip(greedy, greedy[1:])):
+            return greedy
         n = len(text)
         starting: list[list[tuple[int, int]]] = [[] for _ in range(n)]
         for end, match in self.automaton.iter(text):
@@ -185,14 +193,15 @@ class Model:
                 k = choice.pop() - 1
         return tokens
 
-    def segment(self, segment: str) -> tuple[int, ...]:
-        found = self._cache.get(segment)
-        if found is None:
-            found = tuple(self._segment(segment))
-            if len(segment) <= CACHED_CHARS:
-                if len(self._cache) >= CACHED_SEGMENTS:
-                    self._cache.clear()
-                self._cache[segment] = found
+    def _cached(self, segment: str) -> tuple[bool, tuple[int, ...]]:
+        """Whether the segment's ids start with a loose U+2581, and the ids after it."""
+        ids = tuple(self._segment(segment))
+        loose = bool(ids) and ids[0] == self.space_id
+        found = (loose, ids[1:] if loose else ids)
+        if len(segment) <= CACHED_CHARS:
+            if len(self._cache) >= CACHED_SEGMENTS:
+                self._cache.clear()
+            self._cache[segment] = found
         return found
 
     def _segment(self, segment: str) -> list[int]:
@@ -226,24 +235,17 @@ class Model:
         return (SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE)
 
     def encode(self, text: str | None, bos: bool = True, eos: bool = True) -> list[int]:
-        normal = self.normalise(text or "")
         out = [self.bos] if bos else []
         loose = 0
-        space_id = self.id_of.get(SPACE)
-        at = 0
-        while at < len(normal):
-            end = normal.find(SPACE, at + 1)
-            end = len(normal) if end < 0 else end
-            ids = self.segment(normal[at:end])
-            if ids and ids[0] == space_id and space_id is not None:
-                loose += 1
-                ids = ids[1:]
+        cache, space_id = self._cache, self.space_id
+        for segment in SEGMENTS.findall(self.normalise(text or "")):
+            starts_loose, ids = cache.get(segment) or self._cached(segment)
+            loose += starts_loose
             if ids:
                 if loose:
                     out.extend(self.blanks(loose) if loose > 1 else (space_id,))
                     loose = 0
                 out.extend(ids)
-            at = end
         if loose:
             out.extend(self.blanks(loose) if loose > 1 else (space_id,))
         if eos:
