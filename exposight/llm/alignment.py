@@ -9,8 +9,9 @@ Counting is the external spill count of these records, done by Spark's own sort-
 combined per task before the exchange, dealt into hash partitions of (a, b), spilled as compressed sorted runs and
 merged, which gives each pair's number of documents; a second aggregation, A-side major, gives each A id's largest
 count. The per-document contributions are then streamed back by one join of the records with the pair counts (a hot
-pair is split by the optimizer's skew handling) and one aggregation per document. No list of a group or an id is
-gathered in one place.
+pair is split by the optimizer's skew handling) and one aggregation per text. Copies of one text (same SHA-256 of the
+text, null as empty) are aligned once and weigh by their number; their rows get its results by one join. No list of
+a group or an id is gathered in one place.
 
 Defined cases: a null, empty or whitespace-only text, or one whose A or B token bytes do not join to ' ' + text, has
 no tokens: zeros and an empty groups string; a null id is an id like any other; repeated rows are separate documents
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 from exposight.session import materialise
 
 PAIRS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("m", pa.int64())]))
-PER_DOC = (
-    "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
+PER_TEXT = (
+    "key string, copies long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
     "pairs array<struct<a:int, b:int, m:bigint>>"
 )
 TEXTS_AT_ONCE = 256
@@ -162,7 +163,7 @@ def _per_batch(a_path: str, b_path: str):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), *[pa.array(c, pa.int64()) for c in columns[:4]],
                      pa.array(columns[4], pa.string()), _pair_lists(columns[5])],
-                    names=["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs"],
+                    names=["key", "copies", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs"],
                 )
 
     return run
@@ -175,18 +176,21 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     of its links, added up.
     """
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("bigint").alias("doc_id"),
-        F.col(f"`{text_col}`").cast("string").alias("text"),
+        F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")
     )
-    per_doc = materialise(rows.mapInArrow(_per_batch(a_path, b_path), PER_DOC), "align-docs")
-    records = per_doc.select("row", F.inline("pairs"))
-    counts = records.groupBy("a", "b").agg(F.count(F.lit(1)).alias("docs"))
+    keyed = rows.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("key"), "text")
+    # Copies of one text are aligned once and count with their number (partial counts before the shuffle).
+    texts = keyed.groupBy("key").agg(F.first("text", ignorenulls=True).alias("text"), F.count(F.lit(1)).alias("copies"))
+    per_text = materialise(texts.select("key", "copies", "text").mapInArrow(_per_batch(a_path, b_path), PER_TEXT), "align-texts")
+    records = per_text.select("key", "copies", F.inline("pairs"))
+    counts = records.groupBy("a", "b").agg(F.sum("copies").alias("docs"))
     best = counts.groupBy("a").agg(F.max("docs").alias("best"))
     scored = materialise(counts.join(best, "a").select("a", "b", "docs", (F.col("docs") == F.col("best")).alias("top")), "align-counts")
-    back = records.join(scored, ["a", "b"]).groupBy("row").agg(
+    back = records.join(scored, ["a", "b"]).groupBy("key").agg(
         F.sum(F.when(F.col("top"), F.col("m")).otherwise(0)).alias("n_best"), F.sum(F.col("m") * F.col("docs")).alias("count_sum")
     )
-    joined = per_doc.drop("pairs").join(back, "row", "left")
+    found = per_text.drop("pairs", "copies").join(back, "key", "left")
+    joined = keyed.select("doc_id", "key").join(found, "key")
     return joined.select(
         "doc_id", "n_a", "n_b", "n_groups", "n_links", F.coalesce("n_best", F.lit(0)).cast("bigint").alias("n_best"),
         F.coalesce("count_sum", F.lit(0)).cast("bigint").alias("count_sum"), "groups_sha256",
