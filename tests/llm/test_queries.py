@@ -87,3 +87,46 @@ def test_stages_keep_the_columns(spark):
         assert stage(spark, docs, SF).columns == docs.columns
         assert stage(spark, docs.limit(0), SF).count() == 0
     assert [name for name, _ in corpus_pipeline.STAGES][0] == "language ID"
+
+
+def test_op11(spark):
+    """The registered query over the whole embeddings table against numpy."""
+    import pyarrow.parquet as pq
+
+    from tests.llm.test_whitening import brute
+
+    table = pq.read_table(f"{SF}/embeddings.parquet").to_pylist()
+    expect = brute([(r["vec_id"], r["embedding"]) for r in table])
+    found = queries.op11_whitening(spark, SF).collect()
+    assert len(found) == 4 * len(expect)
+    for r in found:
+        n, dev, w, explained = expect[r.vec_id]
+        assert (r.n, r.deviation) == (n, dev)
+        assert abs(abs(r.whitened) - abs(w[r.component - 1])) <= 1e-6 * (1 + abs(w[r.component - 1]))
+        assert abs(r.explained - explained[r.component - 1]) <= 1e-4 * explained[r.component - 1]
+        assert r.identity_error <= 1e-4
+
+
+def test_op12(spark, rows):
+    """The registered query over the whole documents table against the sentencepiece library."""
+    import hashlib
+
+    import public_tokenizers
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    expect = set()
+    for r in rows:
+        ids = sp.encode(r["text"] or "", add_bos=True, add_eos=True)
+        expect.add((r["doc_id"], len(ids), hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest(),
+                    hashlib.sha256(sp.decode(ids).encode()).hexdigest()))
+    found = {tuple(r) for r in queries.op12_piece_bpe(spark, SF).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()}
+    assert found == expect
+
+
+def test_op13(spark, rows):
+    """The registered query over the whole documents table against the brute force over byte ranges."""
+    from tests.llm.test_alignment import brute
+
+    found = sorted((tuple(r) for r in queries.op13_alignment(spark, SF).collect()), key=repr)
+    assert found == brute([(r["doc_id"], r["text"]) for r in rows])
