@@ -19,9 +19,19 @@ from exposight.functions import fixed_values as fv
 from exposight.functions.text import words
 
 
+# Characters of text whose word counts one task holds: about 200 MB.
+DEAL_CHARS = 1 << 22
+
+
+def _dealt(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, text`` dealt by key to as many partitions as the texts need, so a task's word counts do not grow with them."""
+    chars = docs.agg(F.sum(F.length(text).cast("bigint"))).first()[0] or 0
+    return docs.select(key, text).repartition(chars // DEAL_CHARS + 1, key)
+
+
 def word_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, word, n`` per text."""
-    exploded = docs.select(key, F.explode(words(F.col(text))).alias("word"))
+    """``key, word, n`` per text. Texts are dealt by their key once, and counted where they are."""
+    exploded = _dealt(docs, key, text).select(key, F.explode(words(F.col(text))).alias("word"))
     return exploded.groupBy(key, "word").agg(F.count("*").alias("n"))
 
 
@@ -68,14 +78,13 @@ def tfidf_model(docs: DataFrame, text: str, size: int = fv.VOCABULARY_SIZE) -> P
 def tfidf(docs: DataFrame, key: str, text: str, size: int = fv.VOCABULARY_SIZE) -> DataFrame:
     """``key, word, weight`` for every vocabulary word of every text; keys are unique.
 
-    Texts are dealt by their key once; counting words and the length of a text's vector then need no other shuffle.
+    The texts dealt for their counts need no other shuffle for the length of a text's vector.
     """
     chosen = vocabulary(docs, text, size)
     n_docs = docs.count()  # reads no column
     rarity = F.log((1 + n_docs) / (1 + F.col("n_docs")).cast("double")) + 1
-    dealt = docs.select(key, text).repartition(key)
     weighted = (
-        word_counts(dealt, key, text)
+        word_counts(docs, key, text)
         .join(chosen.select("word", rarity.alias("_rarity")), "word")
         .select(key, "word", (F.col("n") * F.col("_rarity")).alias("_x"))
     )

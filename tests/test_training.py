@@ -53,6 +53,19 @@ def test_tfidf_by_hand(spark):
     assert [(r["word"], r["n_total"], r["n_docs"]) for r in small] == [("blue", 2, 2), ("red", 2, 1)]
 
 
+def test_word_counts_of_a_task_do_not_grow_with_the_texts(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 150, "red blue red " * 10) for i in range(200)], "id bigint, t string")
+    parts = []
+    for chars in (1 << 22, 4000, 1000):
+        monkeypatch.setattr(features, "DEAL_CHARS", chars)
+        counts = features.word_counts(docs, "id", "t")
+        parts.append(counts.rdd.getNumPartitions())
+        got = {(r["id"], r["word"]): r["n"] for r in counts.collect()}
+        assert len(got) == 300 and got[(149, "red")] == 20 and got[(0, "blue")] == 20
+        assert "id" in features.tfidf(docs, "id", "t").columns
+    assert parts == [1, 26000 // 4000 + 1, 27]
+
+
 def test_fixed_length_ids(spark):
     docs = spark.createDataFrame([(1, "aa bb aa"), (2, "aa " * 9), (3, "zz")], "id bigint, t string")
     vocab = features.vocabulary(docs.where("id < 3"), "t", 5)
