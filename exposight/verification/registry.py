@@ -111,7 +111,7 @@ def fetch_feed(spark, d):
 @query
 def html_files(spark, d):
     folder = work_folder(spark, "html-files")
-    spark_view(spark, d, "raw_pages").select("page_id", F.col("html").alias("value")).write.partitionBy("page_id").text(folder)
+    sinks.write_files(spark_view(spark, d, "raw_pages"), folder, "page_id", "html")
     page_id = F.regexp_extract("final_url", r"page_id=(\d+)", 1).cast("bigint")
     files = landed.read_html_files(spark, folder)
     return files.select(page_id.alias("page_id"), "http_status", "content_type", F.md5("html").alias("html_md5"))

@@ -118,6 +118,18 @@ def test_local_html_files(spark, tmp_path):
     assert status == "failed"
 
 
+def test_pages_are_written_as_files_of_few_folders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "FOLDER_FILES", 3)
+    rows = [(i, f"<p>\u00e9 {i}</p>") for i in range(8)] + [(3, "again"), (8, None), (-9, "")]
+    pages = spark.createDataFrame(rows, "page_id bigint, html string").coalesce(1)
+    sinks.write_files(pages, str(tmp_path / "pages"), "page_id", "html")
+    files = landed.read_html_files(spark, str(tmp_path / "pages")).collect()
+    got = {r["final_url"].split("/")[-1]: r["html"] for r in files}
+    assert len(files) == 10 and len({r["final_url"].rsplit("/", 1)[0] for r in files}) == 4
+    assert got["page_id=0-00000.txt"] == "<p>\u00e9 0</p>\n" and got["page_id=3-00000.txt"] == "<p>\u00e9 3</p>\nagain\n"
+    assert got["page_id=8-00000.txt"] == got["page_id=-9-00000.txt"] == "\n"
+
+
 def test_review(spark):
     pages = spark.createDataFrame(
         [(1, 1, "a", 25.0, 0.0, "pending"), (2, 2, None, 0.0, 0.0, "pending"), (3, 3, "c", None, 0.0, "pending"), (4, 4, "d", 65.0, 0.0, "pending"), (5, 5, "e", 0.0, 0.0, "ignored")],
