@@ -17,7 +17,8 @@ not guessed), they are broadcast and each key row keeps its piece of text, which
 never leaves its task. Beyond that, key rows carry no text: (page, piece number,
 place) survive the shuffled join with the places, and only those candidates fetch
 their characters, by (page, piece number), from pieces of FETCH_PIECE_CHARS
-characters, so the text crosses the network about once.
+characters, so the text crosses the network about once. A key row is sent only if
+its bit is set in a bit set of the places' keys, which is of a fixed size.
 """
 
 from __future__ import annotations
@@ -44,11 +45,17 @@ PIECE_CHARS = 64
 FETCH_PIECE_CHARS = 1024
 # Bytes of one place row as the broadcast threshold counts them.
 PLACE_ROW_BYTES = 48
+# Bits of the set that says which keys have a place, 64 to a row: a broadcast of 131,072 rows at most.
+KEY_BITS = 1 << 23
 
 
 def identity_terms(subjects: DataFrame) -> DataFrame:
-    """One row per subject and term: ``subject_id, entity_type, entity_value, confidence``."""
-    return subjects.select("subject_id", F.explode(people.identity_terms_of()).alias("term")).select(
+    """One row per subject and term: ``subject_id, entity_type, entity_value, confidence``.
+
+    Building terms costs far more than reading a subject, and many subjects may stand in one small file: they are spread.
+    """
+    n_tasks = int(subjects.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return subjects.repartition(n_tasks, "subject_id").select("subject_id", F.explode(people.identity_terms_of()).alias("term")).select(
         "subject_id", "term.*"
     )
 
@@ -112,9 +119,10 @@ def _pieces(pages: DataFrame, page_id: str, text: Column, owned: int, reach: int
 
 
 def _text_keys(
-    pages: DataFrame, page_id: str, text: Column, groups: list[_Group], owned: int = PIECE_CHARS, keep_piece: bool = True
+    pages: DataFrame, page_id: str, text: Column, groups: list[_Group], keep_piece: bool = True
 ) -> DataFrame:
     """Keys of all texts for the term lengths in use, with the piece they are in, or with its number only."""
+    owned = PIECE_CHARS
     reach = owned + max(g.longest for g in groups)
     if not keep_piece:
         reach = owned + max(g.stride + g.key_length for g in groups)
@@ -190,7 +198,7 @@ def needle_hits(
         needles = prepared.needles.where(F.col("in_digits") == in_digits).select("needle")
         rows = (prepared.place_rows or {}).get(in_digits)
         if rows is not None and not _broadcast_fits(pages.sparkSession, rows):
-            hits = _fetched_hits(pages, page_id, haystack[in_digits], groups, prepared.places[in_digits], needles)
+            hits = _fetched_hits(pages, page_id, haystack[in_digits], groups, prepared.places[in_digits], needles, rows)
             found = found.unionByName(hits.select("page_id", F.lit(in_digits).alias("in_digits"), "needle"))
             continue
         candidates = (
@@ -204,17 +212,36 @@ def needle_hits(
     return found.distinct()
 
 
+def _with_places(keys: DataFrame, places: DataFrame) -> DataFrame:
+    """The key rows that may have a place: those whose bit is set among the bits of the places' keys."""
+    slot = F.pmod(F.xxhash64("group", "key"), F.lit(KEY_BITS))
+    word, bit = F.shiftright(slot, 6), F.pmod(slot, F.lit(64)).cast("int")
+    own = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
+    bits = places.groupBy(word.alias("word")).agg(F.bit_or(own).alias("bits"))
+    marked = keys.withColumn("word", word).join(F.broadcast(bits), "word")
+    return marked.where(F.getbit("bits", bit) == 1).drop("word", "bits")
+
+
 def _fetched_hits(
-    pages: DataFrame, page_id: str, text: Column, groups: list[_Group], places: DataFrame, needles: DataFrame
+    pages: DataFrame, page_id: str, text: Column, groups: list[_Group], places: DataFrame, needles: DataFrame, n_places: int
 ) -> DataFrame:
     """``page_id, needle``: keys without text meet the places; candidates then fetch their characters."""
     owned = FETCH_PIECE_CHARS
-    keys = _text_keys(pages, page_id, text, groups, owned, keep_piece=False)
+    keys = _text_keys(pages, page_id, text, groups, keep_piece=False)
+    if n_places < KEY_BITS:  # else most bits are set
+        keys = _with_places(keys, places)
     starts_at = F.col("at") - F.col("shift")
+    # Keys are cut from short pieces, as reaching into a piece costs its length; the place is counted from the text's start.
+    place = F.col("piece_no") * PIECE_CHARS + starts_at - 1
     candidates = (
         keys.join(places, ["group", "key"])
-        .where((starts_at >= 1) & (starts_at <= owned))
-        .select("page_id", "piece_no", starts_at.alias("start"), "place_length")
+        .where((starts_at >= 1) & (starts_at <= PIECE_CHARS))
+        .select(
+            "page_id",
+            (place / owned).cast("int").alias("piece_no"),
+            (place % owned + 1).alias("start"),
+            "place_length",
+        )
         .distinct()
     )
     fetch = _pieces(pages, page_id, text, owned, owned + max(g.longest for g in groups) - 1)

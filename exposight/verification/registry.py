@@ -273,7 +273,7 @@ def pii_findings(spark, d):
 
 @query
 def pii_phone(spark, d):
-    phones = _terms(spark, d).where(F.col("entity_type") == "phone")
+    phones = matching.prepare(_terms(spark, d).where(F.col("entity_type") == "phone"))  # once for both modes
     pages = spark_view(spark, d, "page_texts")
     modes = [
         matching.findings(pages, phones, phone_mode=m).select(F.lit(m).alias("phone_mode"), "subject_id", "page_id", "entity_value")

@@ -127,3 +127,22 @@ def test_fetched_path_equals_brute_force(spark, seed):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert found == brute(pages, terms)
     assert "piece_no" in plan
+
+
+def test_subjects_of_one_file_are_spread(spark):
+    """One task reads a small file; the terms of its subjects are built by as many tasks as a shuffle has."""
+    rows = [(i, "Ana", ["Bea"], f"Testwell{i}", None, [f"nick{i}x"], ["Port 1"], []) for i in range(40)]
+    schema = "subject_id bigint, first_name string, middle_names array<string>, last_name string, email string, usernames array<string>, locations array<string>, numbers array<string>"
+    terms = matching.identity_terms(spark.createDataFrame(rows, schema).coalesce(1))
+    assert terms.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert terms.select("subject_id").distinct().count() == 40
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 23])
+def test_few_key_rows_are_sent(spark, monkeypatch, bits):
+    """Key rows without a place are left out before the shuffle, at any size of the set of bits."""
+    monkeypatch.setattr(matching, "KEY_BITS", bits)
+    keys = spark.createDataFrame([(6, f"k{i:04d}") for i in range(3000)], "group int, key string")
+    places = keys.where("key like 'k000%'")
+    kept = {r["key"] for r in matching._with_places(keys, places).collect()}
+    assert {f"k{i:04d}" for i in range(10)} <= kept and len(kept) < (20 if bits > 64 else 900)
