@@ -24,12 +24,16 @@ def keywords_from(table: DataFrame) -> Keywords:
 
 
 def _occurrences(hay: Column, phrases: list[str]) -> Column:
-    """Non-overlapping occurrences of each phrase, summed over the phrases."""
+    """Non-overlapping occurrences of each phrase, summed over the phrases.
+
+    Most phrases are absent, and looking for one costs far less than replacing it.
+    """
     needles = F.array(*[F.lit(p.lower()) for p in phrases if p])
 
     def count(total: Column, phrase: Column) -> Column:
         gone = F.octet_length(hay) - F.octet_length(F.replace(hay, phrase, F.lit("")))
-        return total + (gone / F.octet_length(phrase)).cast("int")
+        present = F.contains(hay, phrase)
+        return F.when(present, total + (gone / F.octet_length(phrase)).cast("int")).otherwise(total)
 
     return F.aggregate(needles, F.lit(0), count)
 

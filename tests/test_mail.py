@@ -136,3 +136,12 @@ def test_mailbox_with_crlf_line_ends(spark, tmp_path):
     (tmp_path / "crlf.mbox").write_bytes("".join(one.format(i) for i in range(3)).encode())
     rows = mailbox.read_mbox(spark, str(tmp_path / "crlf.mbox")).orderBy("mail_file", "mail_block", "mail_seq").collect()
     assert [(r["sender"], r["subject"], r["body"]) for r in rows] == [(f"s{i}", f"n{i}", f"first\r\nlast {i}\r\n") for i in range(3)]
+
+
+def test_absent_phrases_are_only_looked_for(spark):
+    mails = spark.createDataFrame([("a", "Sale sale", "SALE wholesale, buy now buy now"), ("b", "", "")], "sender string, subject string, body string")
+    counted = labels.with_labels(mails, "sender")
+    got = {r["sender"]: r["advertising_count"] for r in counted.collect()}
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    points = fv.KEYWORD_POINTS
+    assert got == {"a": 2 * points["strong"] + 4 * points["weak"], "b": 0} and "CASE WHEN Contains(" in plan
