@@ -605,9 +605,10 @@ def stream_analyse(spark, d):
     folder, out = work_folder(spark, "landed"), work_folder(spark, "analysed")
     fetches = landed.normalise_fetches(spark_view(spark, d, "fetches"))
     # All rows land twice: the second copies must not add anything.
-    fetches.repartition(4, "search_result_id").write.parquet(folder)
-    fetches.repartition(1, "search_result_id").write.mode("append").parquet(folder)
-    stream = streams.landed_pages(spark, folder, landed.FETCH_SCHEMA, files_per_batch=2)
+    half = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
+    fetches.repartition(2 * half, "search_result_id").write.parquet(folder)
+    fetches.repartition(half, "search_result_id").write.mode("append").parquet(folder)
+    stream = streams.landed_pages(spark, folder, landed.FETCH_SCHEMA, files_per_batch=half)
     streams.analyse_stream(stream, _terms(spark, d), out, work_folder(spark, "checkpoint")).awaitTermination()
     events = spark.read.parquet(f"{out}/crawl_events").select(F.col("search_result_id").alias("page_id"), "crawl_status")
     pages = spark.read.parquet(f"{out}/crawled_pages").select("page_id", "page_title", "extracted_text")

@@ -5,6 +5,7 @@ from exposight.operators import matching
 from exposight.plans import crawl
 from exposight.sources import landed
 from exposight.streaming import pages as streams
+import pytest
 from pyspark.sql import functions as F
 
 
@@ -64,3 +65,27 @@ def test_new_urls_once_over_runs(spark, tmp_path):
         assert run() == want
         hits.coalesce(1).write.mode("append").parquet(landing)
         assert run() == want
+
+
+def test_fetches_land_by_as_many_tasks_as_a_shuffle_has(spark, monkeypatch):
+    """No task writes all rows; there are three batches at any number of files."""
+    from pathlib import Path
+
+    from exposight.verification import registry
+
+    class Landed(Exception):
+        pass
+
+    def landed_pages(spark, folder, schema, files_per_batch):
+        raise Landed(folder, files_per_batch)
+
+    monkeypatch.setattr(registry.streams, "landed_pages", landed_pages)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        with pytest.raises(Landed) as landed:
+            registry.QUERIES["stream_analyse"](spark, "/root/testdata/sf0.001")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    folder, files_per_batch = landed.value.args
+    assert (len(list(Path(folder).glob("*.parquet"))), files_per_batch) == (12, 4)
