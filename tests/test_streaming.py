@@ -1,12 +1,16 @@
 """Streams give what the batch jobs give, and a re-run adds nothing."""
 
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
 from exposight.functions import urls
 from exposight.operators import matching
 from exposight.plans import crawl
 from exposight.sources import landed
 from exposight.streaming import pages as streams
-import pytest
-from pyspark.sql import functions as F
+from exposight.verification import registry
 
 
 def test_analyse_stream_equals_batch_and_is_idempotent(spark, tmp_path):
@@ -69,9 +73,6 @@ def test_new_urls_once_over_runs(spark, tmp_path):
 
 def test_fetches_land_by_as_many_tasks_as_a_shuffle_has(spark, monkeypatch):
     """No task writes all rows; there are three batches at any number of files."""
-    from pathlib import Path
-
-    from exposight.verification import registry
 
     class Landed(Exception):
         pass
