@@ -4,14 +4,15 @@ The model file is read with the library's own protobuf description; the library
 Encoding of one text:
 
 1. Normalise as the model says (only the identity normaliser is supported: the dummy prefix, spaces as U+2581).
-2. Cut before every U+2581. No piece holds U+2581 other than at its start, save pieces made of U+2581 only, whose
-   score is below all others; so each cut segment merges on its own, and only the U+2581 that a segment leaves
-   unmerged at its start can still join its neighbours.
-3. A segment (split again at characters outside the vocabulary, which become byte pieces) is encoded by
+2. Cut before every run of U+2581. No piece holds U+2581 other than at its start, save pieces made of U+2581 only,
+   whose score is below all others; so each cut segment merges on its own, and within it only the U+2581 that the
+   word leaves unmerged at its start can still join those before it.
+3. A word (split again at characters outside the vocabulary, which become byte pieces) is encoded by
    backtracking: at each position take the longest piece that an Aho-Corasick pass found there, keep it if its end
    is not marked failed and BPE would not merge across its border with the previous piece (checked by undoing both
-   pieces' merges in rank order), else try the next shorter piece; when none fits, mark the position failed and
-   step back one piece. Pieces that their own text does not encode to are never matched.
+   pieces' merges in rank order; the answer for a pair of pieces is remembered), else try the next shorter piece,
+   which is the longest piece that starts it; when none fits, mark the position failed and step back one piece.
+   Pieces that their own text does not encode to are never matched.
 4. Runs of loose U+2581 symbols merge as the library merges ties of equal score: leftmost pair first.
 
 Decoding joins the pieces, turns U+2581 into spaces, byte pieces into their bytes, drops control pieces and the
@@ -28,6 +29,7 @@ import functools
 import hashlib
 import heapq
 import re
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -36,9 +38,10 @@ from pyspark.sql import DataFrame
 from exposight.llm.batches import map_values
 
 SPACE = "▁"
-SEGMENTS = re.compile(f"{SPACE}[^{SPACE}]*|[^{SPACE}]+")
+SEGMENTS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 CACHED_CHARS = 64
 CACHED_SEGMENTS = 1 << 18
+CACHED_PAIRS = 1 << 18
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -110,8 +113,6 @@ class Model:
         self.split = [(r, r) for r in range(len(self.rank_piece))]
         self.pair: dict[tuple[int, int], int] = {}
         self.automaton = ahocorasick.Automaton()
-        for p in self.chars:
-            self.automaton.add_word(p, (rank[p], len(p)))
         for p in merged:
             found, last = heap_bpe(list(p), self.score)
             if found != [p] or last is None:
@@ -119,13 +120,17 @@ class Model:
             left, right = rank[last[0]], rank[last[1]]
             self.split[rank[p]] = (left, right)
             self.pair[(left, right)] = rank[p]
-            self.automaton.add_word(p, (rank[p], len(p)))
+            self.automaton.add_word(p, rank[p])
         self.automaton.make_automaton()
+        self.char_rank = {p: rank[p] for p in self.chars}
         self.ids_of_rank = [self.id_of[p] for p in self.rank_piece]
-        self.rank_of_text = {p: rank[p] for p in self.chars} | {
+        self.rank_of_text = self.char_rank | {
             p: rank[p] for p in merged if self.split[rank[p]][0] != rank[p]
         }
-        self._cache: dict[str, tuple[bool, tuple[int, ...]]] = {}
+        self.size = [len(p) for p in self.rank_piece]
+        self.shorter = [self._starting_piece(p) for p in self.rank_piece]
+        self._segments = _Segments(self)
+        self._sides: dict[int, bool] = {}
         self.space_id = self.id_of.get(SPACE, -1)
         self.surface = [self._surface(i) for i in range(len(self.pieces))]
 
@@ -153,67 +158,80 @@ class Model:
                     if a == limit:
                         return True
 
+    def _starting_piece(self, piece: str) -> int:
+        """Rank of the longest shorter piece that starts ``piece``, -1 if none does."""
+        known = (self.rank_of_text.get(piece[:size]) for size in range(len(piece) - 1, 0, -1))
+        return next((r for r in known if r is not None), -1)
+
+    def _side_by_side(self, key: int) -> bool:
+        """``valid_pair`` of the ranks in ``key``, remembered."""
+        if len(self._sides) >= CACHED_PAIRS:
+            self._sides.clear()
+        found = self._sides[key] = self.valid_pair(key >> 32, key & 0xFFFFFFFF)
+        return found
+
     def backtrack(self, text: str) -> list[int]:
         """Ranks of the BPE encoding of ``text``, all of whose characters are pieces."""
         whole = self.rank_of_text.get(text)
         if whole is not None:
             return [whole]  # the longest match, first and ending at the end: kept at once
-        # The first tries of the backtracking are the longest match at each end in turn; while every pair of them
-        # passes, nothing is stepped back and they are the encoding.
-        greedy = [r for _, (r, _) in self.automaton.iter_long(text)]
-        if all(self.valid_pair(a, b) for a, b in zip(greedy, greedy[1:])):
-            return greedy
         n = len(text)
-        starting: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, match in self.automaton.iter(text):
-            starting[end - match[1] + 1].append(match)
-        # The matches of one start arrive by rising end, so each list runs from short to long: walk it from its end.
+        sizes, shorter, sides = self.size, self.shorter, self._sides
+        longest = list(map(self.char_rank.__getitem__, text))
+        if self.automaton:
+            for end, r in self.automaton.iter(text):
+                longest[end + 1 - sizes[r]] = r  # the matches of one start arrive by rising end: the last is the longest
         usable = bytearray(b"\x01") * (n + 1)
         tokens: list[int] = []
-        sizes: list[int] = []
-        choice: list[int] = []  # index into ``starting`` of each token
-        pos, k = 0, len(starting[0]) - 1
-        while pos < n:
-            options = starting[pos]
-            while k >= 0:
-                r, size = options[k]
-                if usable[pos + size] and (not tokens or self.valid_pair(tokens[-1], r)):
-                    break
-                k -= 1
-            if k >= 0:
+        pos, r = 0, longest[0]
+        while True:
+            if tokens:
+                before = tokens[-1] << 32
+                while r >= 0:
+                    if usable[pos + sizes[r]]:
+                        fits = sides.get(before | r)
+                        if fits or (fits is None and self._side_by_side(before | r)):
+                            break
+                    r = shorter[r]
+            else:
+                while r >= 0 and not usable[pos + sizes[r]]:
+                    r = shorter[r]
+            if r >= 0:
                 tokens.append(r)
-                sizes.append(size)
-                choice.append(k)
-                pos += size
-                k = len(starting[pos]) - 1 if pos < n else -1
+                pos += sizes[r]
+                if pos == n:
+                    return tokens
+                r = longest[pos]
             else:
                 usable[pos] = 0
-                tokens.pop()
-                pos -= sizes.pop()
-                k = choice.pop() - 1
-        return tokens
-
-    def _cached(self, segment: str) -> tuple[bool, tuple[int, ...]]:
-        """Whether the segment's ids start with a loose U+2581, and the ids after it."""
-        ids = tuple(self._segment(segment))
-        loose = bool(ids) and ids[0] == self.space_id
-        found = (loose, ids[1:] if loose else ids)
-        if len(segment) <= CACHED_CHARS:
-            if len(self._cache) >= CACHED_SEGMENTS:
-                self._cache.clear()
-            self._cache[segment] = found
-        return found
+                last = tokens.pop()
+                pos -= sizes[last]
+                r = shorter[last]
 
     def _segment(self, segment: str) -> list[int]:
-        """Ids of one segment; characters outside the vocabulary become byte pieces."""
+        """Ids of one segment: U+2581 symbols, then a word."""
+        spaces = len(segment) - len(segment.lstrip(SPACE))
+        if spaces == len(segment):
+            return list(self.blanks(spaces))
+        if spaces < 2:
+            return self._word(segment)
+        ids = self._word(segment[spaces - 1 :])
+        if ids[0] == self.space_id:
+            return [*self.blanks(spaces), *ids[1:]]
+        return [*self.blanks(spaces - 1), *ids]
+
+    def _word(self, word: str) -> list[int]:
+        """Ids of one word and its U+2581, if any; characters outside the vocabulary become byte pieces."""
+        if self.chars.issuperset(word):
+            return [self.ids_of_rank[r] for r in self.backtrack(word)]
         out: list[int] = []
         run_start = 0
-        for i, c in enumerate(segment + "\0"):
-            known = i < len(segment) and c in self.chars
+        for i, c in enumerate(word + "\0"):
+            known = i < len(word) and c in self.chars
             if not known:
                 if run_start < i:
-                    out.extend(self.ids_of_rank[r] for r in self.backtrack(segment[run_start:i]))
-                if i < len(segment):
+                    out.extend(self.ids_of_rank[r] for r in self.backtrack(word[run_start:i]))
+                if i < len(word):
                     out.extend(self._unknown(c))
                 run_start = i + 1
         return out
@@ -236,18 +254,7 @@ class Model:
 
     def encode(self, text: str | None, bos: bool = True, eos: bool = True) -> list[int]:
         out = [self.bos] if bos else []
-        loose = 0
-        cache, space_id = self._cache, self.space_id
-        for segment in SEGMENTS.findall(self.normalise(text or "")):
-            starts_loose, ids = cache.get(segment) or self._cached(segment)
-            loose += starts_loose
-            if ids:
-                if loose:
-                    out.extend(self.blanks(loose) if loose > 1 else (space_id,))
-                    loose = 0
-                out.extend(ids)
-        if loose:
-            out.extend(self.blanks(loose) if loose > 1 else (space_id,))
+        out.extend(chain.from_iterable(map(self._segments.__getitem__, SEGMENTS.findall(self.normalise(text or "")))))
         if eos:
             out.append(self.eos)
         return out
@@ -270,6 +277,29 @@ class Model:
         return joined.decode("utf-8", errors="replace")
 
 
+class _Segments(dict[str, tuple[int, ...]]):
+    """Segment → ids, worked out at first use; long segments are not kept.
+
+    A full cache becomes the older one and a new one starts, so segments in use stay known.
+    """
+
+    def __init__(self, owner: Model):
+        super().__init__()
+        self.owner = owner
+        self.older: dict[str, tuple[int, ...]] = {}
+
+    def __missing__(self, segment: str) -> tuple[int, ...]:
+        ids = self.older.get(segment)
+        if ids is None:
+            ids = tuple(self.owner._segment(segment))
+        if len(segment) <= CACHED_CHARS:
+            if len(self) >= CACHED_SEGMENTS:
+                self.older = dict(self)
+                self.clear()
+            self[segment] = ids
+        return ids
+
+
 @functools.cache
 def model(path: str) -> Model:
     return Model(path)

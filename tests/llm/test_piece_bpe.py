@@ -47,6 +47,37 @@ def test_backtracking_equals_the_merge_loop():
         assert [m.rank_piece[r] for r in m.backtrack(word)] == plain, word
 
 
+def test_a_pair_of_pieces_is_judged_once(library, monkeypatch):
+    """Words of the same pieces ask for the same borders: their merges are undone once, not per word."""
+    m = piece_bpe.Model(PATH)
+    judged = []
+    judge = m.valid_pair
+    monkeypatch.setattr(m, "valid_pair", lambda a, b: judged.append((a, b)) or judge(a, b))
+    rng = random.Random(9)
+    text = " ".join("".join(rng.choice("aehnt") for _ in range(rng.randint(5, 9))) for _ in range(3000))
+    assert m.encode(text) == library.encode(text, add_bos=True, add_eos=True)
+    assert judged and len(judged) == len(set(judged))
+
+
+def test_words_in_use_outlive_a_full_cache(library, monkeypatch):
+    monkeypatch.setattr(piece_bpe, "CACHED_SEGMENTS", 4)
+    m = piece_bpe.Model(PATH)
+    worked_out = []
+    work_out = m._segment
+    monkeypatch.setattr(m, "_segment", lambda segment: worked_out.append(segment) or work_out(segment))
+    text = " ".join(f"often rare{i}" for i in range(20))
+    assert m.encode(text) == library.encode(text, add_bos=True, add_eos=True)
+    assert worked_out.count("▁often") == 1
+
+
+def test_runs_of_spaces_before_words(library):
+    m = piece_bpe.model(PATH)
+    for k in range(1, 40):
+        for word in ("word", "日本", "é", "", "🙂x", "1,2"):
+            text = f"a{' ' * k}{word}{' ' * k}b{' ' * k}"
+            assert m.encode(text) == library.encode(text, add_bos=True, add_eos=True), text
+
+
 def test_digests(spark, documents, clashing, library):
     rows = [(i, t) for i, t in enumerate(EDGES)] + [(None, "x y"), (50, "dup"), (50, "dup")]
     found = piece_bpe.digests(clashing(documents(rows)), PATH).collect()
