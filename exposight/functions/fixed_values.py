@@ -132,6 +132,7 @@ HELD_OUT_SHARE = (1, 5)
 SPLIT_SEED = 42
 SVM_PENALTY = 1.0
 SVM_ITERATIONS = 1000
+SVM_FITS_AT_ONCE = 5
 SEQUENCE_LENGTH = 256
 HITS_PER_QUERY = 10
 INBOX_SIZE = 500

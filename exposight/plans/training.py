@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LinearSVC, LinearSVCModel
 from pyspark.ml.functions import vector_to_array
@@ -92,8 +94,8 @@ class MailClassifier:
         text_model = features.tfidf_model(train, text)
         # Each fit passes over the vectors many times: write them once.
         vectors = materialise(text_model.transform(train.select(text, label)).select("features", label), "svm-vectors")
-        machines = []
-        for name in labels:
+
+        def machine(name: str) -> LinearSVCModel:
             own = F.col(label) == name
             total = sizes[name] * weights[name] + sum(n for other, n in sizes.items() if other != name)
             rows = vectors.select(
@@ -105,7 +107,11 @@ class MailClassifier:
                 featuresCol="features", labelCol="target", weightCol="weight", maxIter=max_iter,
                 regParam=1 / (penalty * total), tol=1e-4, standardization=False,
             )
-            machines.append(svc.fit(rows))
+            return svc.fit(rows)
+
+        # A fit is a long row of short jobs that leave most cores idle; fits of several labels run side by side.
+        with ThreadPool(max(1, min(fv.SVM_FITS_AT_ONCE, len(labels)))) as pool:
+            machines = pool.map(inheritable_thread_target(train.sparkSession)(machine), labels, chunksize=1)
         return cls(labels, text_model, machines)
 
     def predict(self, rows: DataFrame) -> DataFrame:

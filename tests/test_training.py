@@ -2,6 +2,7 @@
 
 import math
 import random
+import threading
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -109,3 +110,19 @@ def test_classifier_learns_saves_and_loads(spark, tmp_path):
     texts = training.with_email_text(stored).select("id", "email_text")
     same = training.MailClassifier.load(spark, folder).predict(texts)
     assert {tuple(r) for r in same.select("id", "predicted").collect()} == {tuple(r) for r in model.predict(texts).select("id", "predicted").collect()}
+
+
+def test_labels_are_fitted_side_by_side(spark, monkeypatch):
+    both = threading.Barrier(2)
+    fit = training.LinearSVC.fit
+
+    def met(self, rows):
+        both.wait(timeout=60)
+        return fit(self, rows)
+
+    monkeypatch.setattr(training.LinearSVC, "fit", met)
+    rows = [(f"sale offer {i}" if i % 2 else f"policy notice {i}", "advertising" if i % 2 else "privacy") for i in range(20)]
+    texts = spark.createDataFrame(rows, "email_text string, training_label string")
+    model = training.MailClassifier.fit(texts, max_iter=20)
+    assert model.labels == ["advertising", "privacy"]
+    assert model.predict(texts).where("predicted != training_label").count() == 0
