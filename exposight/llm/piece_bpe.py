@@ -210,6 +210,8 @@ class Model:
 
     def _segment(self, segment: str) -> list[int]:
         """Ids of one segment: U+2581 symbols, then a word."""
+        if self.space_id < 0:
+            return self._word(segment)  # U+2581 is outside the vocabulary
         spaces = len(segment) - len(segment.lstrip(SPACE))
         if spaces == len(segment):
             return list(self.blanks(spaces))

@@ -78,6 +78,16 @@ def test_runs_of_spaces_before_words(library):
             assert m.encode(text) == library.encode(text, add_bos=True, add_eos=True), text
 
 
+def test_a_model_without_the_space_symbol():
+    """U+2581 outside the vocabulary becomes byte pieces, alone, in runs and before words."""
+    m = piece_bpe.Model(PATH)
+    m.chars = m.chars - {piece_bpe.SPACE}
+    m.space_id = -1
+    space = [m.byte_id[x] for x in piece_bpe.SPACE.encode()]
+    word = [m.ids_of_rank[r] for r in m.backtrack("ab")]
+    assert m.encode("ab  ab ", bos=False, eos=False) == [*space, *word, *space, *space, *word, *space]
+
+
 def test_digests(spark, documents, clashing, library):
     rows = [(i, t) for i, t in enumerate(EDGES)] + [(None, "x y"), (50, "dup"), (50, "dup")]
     found = piece_bpe.digests(clashing(documents(rows)), PATH).collect()
